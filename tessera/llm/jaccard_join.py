@@ -17,8 +17,9 @@ Texts with one word sequence form a class, joined once. Then:
    from below, which refutes most candidates in the JVM; the others are compared
    on all their shared shingles. The
    result is the partition into components, so candidate lists are first
-   verified against pivots (linear in the list), components are contracted, and
-   only pairs that are still in different components are then verified in full.
+   verified against pivots and each member's nearest other component (linear in
+   the list), components are contracted, and only pairs that are still in
+   different components are then verified in full.
    Pairs whose list holds one component already need no comparison.
 
 Nothing is dropped or capped; the order of steps only saves comparisons.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
@@ -43,8 +45,8 @@ BUCKET = 4_000_000
 COUNTERS, COMMON = 1 << 15, 1 << 17
 #: From this frequency on, prefixes index pairs of shingles.
 FREQUENT = 32
-#: Longs of a parity bitmap.
-WORDS = 16
+#: Longs of a parity bitmap; index entries of a sketch.
+WORDS, SKETCH = 16, 8
 
 
 def _class(digest: bytes) -> int:
@@ -208,11 +210,14 @@ def _marks(sets: DataFrame, k: str) -> DataFrame:
     return sets.select(F.col("class").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "own", *(f"w{i}" for i in range(WORDS)))))
 
 
+def _differ():
+    return sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(WORDS)), F.col("own_a") + F.col("own_b"))
+
+
 def _may_link(percent: int):
     """No link is possible if the bits that differ, a lower bound of the shared
     shingles that do, and the shingles of one class alone are too many."""
-    differ = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(WORDS)), F.col("own_a") + F.col("own_b"))
-    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return _differ() * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
 
 
 def subclasses(n: int) -> int:
@@ -269,7 +274,7 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, pivot_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, pivot_rounds: int = 1, nearest_rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest
     doc_id reachable by links of Jaccard similarity >= percent / 100, itself
     included).
@@ -309,7 +314,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, pivot_rounds: int = 2
 
     sigs = sets.select("class", "n", "tokens").mapInArrow(_index(percent), "sig long, class long, n long")
     sigs = scratch.keep(sigs.select("sig", "class"), "signatures")
-    near = _links(scratch, sets, sigs, percent, pivot_rounds)
+    near = _links(scratch, sets, sigs, percent, pivot_rounds, nearest_rounds)
 
     rep = classes.select("class", "rep", "n")
     rooted = rep.join(near.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -325,7 +330,7 @@ def _class_column():
     return F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
 
 
-def _links(scratch: Scratch, sets: DataFrame, sigs: DataFrame, percent: int, rounds: int) -> DataFrame:
+def _links(scratch: Scratch, sets: DataFrame, sigs: DataFrame, percent: int, rounds: int, nearest: int) -> DataFrame:
     """(node, root) over the classes that have a link."""
     spark = scratch.spark
     tested = None
@@ -361,15 +366,32 @@ def _links(scratch: Scratch, sets: DataFrame, sigs: DataFrame, percent: int, rou
         members = scratch.keep(members, "members")
         check(members.join(pivots, "sig").join(_marks(sets, "a"), "a").join(_marks(sets, "b"), "b").where(_may_link(percent)))
         lists = rooted()
-    # In full: members outside a list's largest component against all members.
-    sizes = lists.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"))
-    top = scratch.keep(sizes.groupBy("sig").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", F.col("x.root").alias("top")), "tops")
-    mixed = scratch.keep(lists.join(top, "sig"), "mixed")
-    if not mixed.isEmpty():
-        few = mixed.where("root <> top").select("sig", F.col("class").alias("a"), F.col("root").alias("r")).join(_marks(sets, "a"), "a")
-        many = mixed.select("sig", F.col("class").alias("b"), "root").join(_marks(sets, "b"), "b")
-        few, many = scratch.keep(few, "few"), scratch.keep(many, "many")
-        check(few.join(many, "sig").where("r <> root").where(_may_link(percent)))
+    for k in range(nearest + 1):
+        # Members outside a list's largest component against all its members.
+        sizes = lists.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"))
+        top = sizes.groupBy("sig").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        mixed = scratch.keep(lists.join(scratch.keep(top.select("sig", F.col("x.root").alias("top")), "tops"), "sig"), "mixed")
+        few = mixed.where("root <> top").select("sig", F.col("class").alias("a"), F.col("root").alias("r"))
+        if few.isEmpty():
+            return roots
+        many = mixed.select("sig", F.col("class").alias("b"), "root")
+        if k < nearest:
+            # Two seeded lists of each, and of each other component the member
+            # whose bitmap differs least: most links that exist are found here.
+            seeded = W.partitionBy("a").orderBy(F.xxhash64(F.lit(k), "sig"), "sig")
+            few = few.withColumn("nth", F.row_number().over(seeded)).where("nth <= 2").drop("nth")
+            few, many = scratch.keep(few.join(_marks(sets, "a"), "a"), "few"), scratch.keep(many.join(_marks(sets, "b"), "b"), "many")
+            near = few.join(many, "sig").where("r <> root").where(_may_link(percent))
+            check(near.groupBy("a", "root").agg(F.min_by("b", _differ()).alias("b")))
+            lists = rooted()
+            continue
+        # In full. A pair comes from the least list that both sketches hold, not
+        # from each list that both are in.
+        least = scratch.keep(sigs.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, SKETCH).alias("least")), "sketches")
+        side = lambda t, c: scratch.keep(t.join(_marks(sets, c), c).join(least.select(F.col("class").alias(c), F.col("least").alias(f"least_{c}")), c), "full")
+        first = F.coalesce(F.array_min(F.array_intersect("least_a", "least_b")) >= F.col("sig"), F.lit(True))
+        pairs = side(few, "a").join(side(many, "b"), "sig")
+        check(pairs.where("r <> root").where(_may_link(percent)).where(first).select("a", "b"))
     return roots
 
 
