@@ -39,6 +39,9 @@ def fit(counts: dict[int, int], budget: int, dp_words: int = 20_000) -> dict[int
             break
         n = min(counts[s] - take[s], (left - dp_words) // s)
         take[s], left = take[s] + n, left - n * s
+    for s in sorted(counts, reverse=True):  # what the table may decide anew
+        n = min(take[s], 2, max(0, dp_words - left) // s)
+        take[s], left = take[s] - n, left + n * s
     if 0 < left <= dp_words:
         # reach[i]: the sums that the first i chunks can make, as a bit set.
         chunks, mask = [], (1 << (left + 1)) - 1
@@ -72,7 +75,7 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], mos
         room = total - sum(most * order[i][1] for i in full)
         share = sum(weigh[i] for i in range(len(order)) if i not in full)
         for i in range(len(order)):
-            goal[i] = most * order[i][1] if i in full else room * weigh[i] / share
+            goal[i] = float(most * order[i][1]) if i in full else float(room * weigh[i] / share)
         over = {i for i in range(len(order)) if i not in full and goal[i] > most * order[i][1]}
         if not over:
             return [(s, n, g) for (s, n), g in zip(order, goal, strict=True)]
