@@ -185,8 +185,10 @@ def train(texts: list[str], langs: list[str], windows: int = 4, epochs: int = 40
             x = np.where(valid[:, t + 1, None], (e[:, t + 1] * back[:, t + 1]) @ a.T, back[:, t + 1])
             back[:, t] = _normal(x)
         post = _normal(forth * back) * valid[..., None]
-        joint = np.einsum("bti,ij,btj->btij", forth[:, :-1], a, e[:, 1:] * back[:, 1:])
-        joint = joint / joint.sum(axis=(2, 3), keepdims=True) * pairs[..., None, None]
+        # Expected transitions, without a table of all pairs of labels per step.
+        came, left = forth[:, :-1].reshape(-1, k), (e[:, 1:] * back[:, 1:]).reshape(-1, k)
+        weigh = pairs.reshape(-1) / ((came @ a) * left).sum(axis=1)
+        steps = a * ((came * weigh[:, None]).T @ left)
         g = (post - hot)[valid]
         scale = 1.0 / len(flat)
         per = np.stack([np.bincount(flat, g[:, j], places) for j in range(k)], axis=1) * scale
@@ -194,7 +196,7 @@ def train(texts: list[str], langs: list[str], windows: int = 4, epochs: int = 40
             np.stack([np.bincount(tri, per[word, j], 1 << TRI) for j in range(k)], axis=1),
             np.stack([np.bincount(affix.reshape(-1), np.repeat(per[:, j], 2), 1 << AFFIX) for j in range(k)], axis=1),
             np.stack([np.bincount(lex, per[:, j], 1 << LEXICON) for j in range(k)], axis=1),
-            (joint.sum(axis=(0, 1)) - seen) * scale,
+            (steps - seen) * scale,
         ]
         for p, grad, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (grad - m)

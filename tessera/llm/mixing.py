@@ -40,7 +40,7 @@ def fit(counts: dict[int, int], budget: int, dp_words: int = 20_000) -> dict[int
         n = min(counts[s] - take[s], (left - dp_words) // s)
         take[s], left = take[s] + n, left - n * s
     for s in sorted(counts, reverse=True):  # what the table may decide anew
-        n = min(take[s], 2, max(0, dp_words - left) // s)
+        n = min(take[s], max(0, dp_words - left) // s)
         take[s], left = take[s] - n, left + n * s
     if 0 < left <= dp_words:
         # reach[i]: the sums that the first i chunks can make, as a bit set.
