@@ -13,7 +13,8 @@ messages from row to row, and all rows then run side by side.
 
 Training: on the driver, on at most `sample` labelled texts in seeded order and
 `windows` seeded windows of WINDOW words of each, and as many spliced from two
-languages, so that the transitions see switches.
+languages, so that the transitions see switches. A step's gradient covers all
+chains, added up over blocks of them, so that memory holds one block's messages.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tessera.llm.chars import Frame, frames, ngrams, whole
 from tessera.llm.common import labelled_sample, utf8
 
 ROW, WINDOW = 128, 48
+#: Chains and words that training works on at a time.
+CHAINS, WORDS = 1024, 32768
 TRI, AFFIX, LEXICON = 15, 15, 16
 
 
@@ -123,6 +126,30 @@ def posteriors(score: np.ndarray, step: np.ndarray, first: np.ndarray) -> np.nda
     return out
 
 
+def _chains(e: np.ndarray, a: np.ndarray, chain: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over a block of chains (words, -1 beyond the end): the
+    words, posterior less truth of each, and expected less seen transitions."""
+    k = len(a)
+    valid = chain >= 0
+    hot = np.eye(k)[np.where(valid, truth[chain], 0)] * valid[..., None]
+    pairs = valid[:, 1:] & valid[:, :-1]
+    e = e[chain]
+    e[~valid] = 1.0
+    forth, back = np.zeros_like(e), np.zeros_like(e)
+    forth[:, 0] = _normal(e[:, 0])
+    for t in range(1, WINDOW):
+        forth[:, t] = _normal(np.where(valid[:, t, None], (forth[:, t - 1] @ a) * e[:, t], forth[:, t - 1]))
+    back[:, -1] = 1.0 / k
+    for t in range(WINDOW - 2, -1, -1):
+        back[:, t] = _normal(np.where(valid[:, t + 1, None], (e[:, t + 1] * back[:, t + 1]) @ a.T, back[:, t + 1]))
+    post = _normal(forth * back) * valid[..., None]
+    # Expected transitions, without a table of all pairs of labels per step.
+    came, left = forth[:, :-1].reshape(-1, k), (e[:, 1:] * back[:, 1:]).reshape(-1, k)
+    weigh = pairs.reshape(-1) / ((came @ a) * left).sum(axis=1)
+    seen = np.einsum("bti,btj->ij", hot[:, :-1] * pairs[..., None], hot[:, 1:])
+    return chain[valid], (post - hot)[valid], a * ((came * weigh[:, None]).T @ left) - seen
+
+
 def train(texts: list[str], langs: list[str], windows: int = 4, epochs: int = 40, rate: float = 0.05, seed: int = 3) -> Model:
     """Fit by Adam on the chain's log-likelihood of WINDOW-word windows."""
     labels = sorted(set(langs))
@@ -130,7 +157,7 @@ def train(texts: list[str], langs: list[str], windows: int = 4, epochs: int = 40
     data, offs = utf8(pa.array(texts, pa.string()))
     tris, affixes, lexes, sizes, gold = [], [], [], [], []
     lang = np.array([labels.index(x) for x in langs], np.int64)
-    for a, b, f in frames(data, offs):
+    for a, b, f in frames(data, offs, 1 << 18):
         tri, affix, lex = features(f)
         size = f.end - f.start
         start = np.append(0, np.cumsum(size))
@@ -140,18 +167,18 @@ def train(texts: list[str], langs: list[str], windows: int = 4, epochs: int = 40
             for _ in range(many):
                 s = lo + int(rng.integers(0, max(1, hi - lo - WINDOW + 1)))
                 t = min(hi, s + WINDOW)
-                tris.append(tri[start[s] : start[t]])
-                affixes.append(affix[s:t])
-                lexes.append(lex[s:t])
-                sizes.append(size[s:t])
+                tris.append(tri[start[s] : start[t]].astype(np.int32))
+                affixes.append(affix[s:t].astype(np.int32))
+                lexes.append(lex[s:t].astype(np.int32))
+                sizes.append(size[s:t].copy())
                 gold.append(int(lang[a + i]))
     model = Model(labels, *(np.zeros((1 << bits, k), np.float32) for bits in (TRI, AFFIX, LEXICON)), np.zeros((k, k), np.float32))
     if not sizes:
         return model
     tri, affix, lex, size = (np.concatenate(x) for x in (tris, affixes, lexes, sizes))
     count = np.array([len(x) for x in sizes])
-    first = np.append(0, np.cumsum(size))[:-1]
-    word = np.repeat(np.arange(len(size)), size)
+    del data, offs, tris, affixes, lexes, sizes
+    first = np.append(0, np.cumsum(size))
     lo = np.append(0, np.cumsum(count))
     # Chains: every window alone, and spliced ones of two halves.
     alone = np.full((len(count), WINDOW), -1, np.int64)
@@ -162,41 +189,30 @@ def train(texts: list[str], langs: list[str], windows: int = 4, epochs: int = 40
     full = (count >= WINDOW) & (count[other] >= WINDOW)
     chain = np.concatenate((alone, half[full]))
     truth = np.repeat(np.array(gold), count)
-    valid = chain >= 0
-    target = np.where(valid, truth[chain], 0)
-    hot = (np.eye(k)[target] * valid[..., None]).astype(np.float64)
-    pairs = valid[:, 1:] & valid[:, :-1]
-    seen = np.einsum("bti,btj->ij", hot[:, :-1] * pairs[..., None], hot[:, 1:])
+    held = int((chain >= 0).sum())
     params = [model.tri, model.affix, model.lexicon, model.step]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    flat, places = chain[valid], len(size)
+    places = len(size)
     for epoch in range(1, epochs + 1):
-        score = np.add.reduceat(model.tri[tri], first, axis=0) + model.affix[affix].sum(axis=1) + model.lexicon[lex]
-        e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)[chain]
-        e[~valid] = 1.0
+        e = np.empty((places, k))
+        for i in range(0, places, WORDS):
+            j = min(i + WORDS, places)
+            score = np.add.reduceat(model.tri[tri[first[i] : first[j]]], first[i:j] - first[i], axis=0) + model.affix[affix[i:j]].sum(axis=1) + model.lexicon[lex[i:j]]
+            e[i:j] = np.exp(score - score.max(axis=1, keepdims=True))
         a = np.exp(model.step.astype(np.float64))
-        forth, back = np.zeros_like(e), np.zeros_like(e)
-        forth[:, 0] = _normal(e[:, 0])
-        for t in range(1, WINDOW):
-            x = np.where(valid[:, t, None], (forth[:, t - 1] @ a) * e[:, t], forth[:, t - 1])
-            forth[:, t] = _normal(x)
-        back[:, -1] = 1.0 / k
-        for t in range(WINDOW - 2, -1, -1):
-            x = np.where(valid[:, t + 1, None], (e[:, t + 1] * back[:, t + 1]) @ a.T, back[:, t + 1])
-            back[:, t] = _normal(x)
-        post = _normal(forth * back) * valid[..., None]
-        # Expected transitions, without a table of all pairs of labels per step.
-        came, left = forth[:, :-1].reshape(-1, k), (e[:, 1:] * back[:, 1:]).reshape(-1, k)
-        weigh = pairs.reshape(-1) / ((came @ a) * left).sum(axis=1)
-        steps = a * ((came * weigh[:, None]).T @ left)
-        g = (post - hot)[valid]
-        scale = 1.0 / len(flat)
-        per = np.stack([np.bincount(flat, g[:, j], places) for j in range(k)], axis=1) * scale
+        per, steps = np.zeros((places, k)), np.zeros((k, k))
+        for i in range(0, len(chain), CHAINS):
+            flat, g, more = _chains(e, a, chain[i : i + CHAINS], truth)
+            steps += more
+            for j in range(k):
+                per[:, j] += np.bincount(flat, g[:, j], places)
+        scale = 1.0 / held
+        per *= scale
         grads = [
-            np.stack([np.bincount(tri, per[word, j], 1 << TRI) for j in range(k)], axis=1),
+            np.stack([np.bincount(tri, np.repeat(per[:, j], size), 1 << TRI) for j in range(k)], axis=1),
             np.stack([np.bincount(affix.reshape(-1), np.repeat(per[:, j], 2), 1 << AFFIX) for j in range(k)], axis=1),
             np.stack([np.bincount(lex, per[:, j], 1 << LEXICON) for j in range(k)], axis=1),
-            (steps - seen) * scale,
+            steps * scale,
         ]
         for p, grad, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (grad - m)
