@@ -63,23 +63,30 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def labelled_sample(rows: DataFrame, most_rows: int, most_chars: int, seed: int) -> list:
-    """At most so many rows (label, doc_id, text), whole texts, evenly by label
-    and in seeded order; together about most_chars characters. Two scans: the
-    first brings ids and lengths of a bounded share, the second the texts."""
-    slim = rows.select("label", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.length("text").alias("n"))
+def sampled_ids(slim: DataFrame, most_rows: int, most_chars: int, seed: int) -> dict:
+    """doc_id -> label of at most so many rows (label, doc_id, n characters),
+    evenly by label and in seeded order; together about most_chars characters.
+    What comes to the driver is a bounded share of the ids."""
+    slim = slim.select("label", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"), "n")
     count = {r["label"]: r["n"] for r in slim.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count:
-        return []
+        return {}
     each = max(1, most_rows // len(count))
     share = F.create_map(*(F.lit(x) for k, n in count.items() for x in (k, min(1.0, (2.0 * each + 30) / n))))
     few = slim.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30)).orderBy("h", "doc_id").limit(4 * most_rows)
-    ids, held, size = set(), dict.fromkeys(count, 0), dict.fromkeys(count, 0)
+    ids, held, size = {}, dict.fromkeys(count, 0), dict.fromkeys(count, 0)
     for r in few.collect():
         k = r["label"]
         if r["doc_id"] is not None and held[k] < each and size[k] + r["n"] <= most_chars / len(count):
-            ids.add(r["doc_id"])
+            ids[r["doc_id"]] = k
             held[k], size[k] = held[k] + 1, size[k] + r["n"]
+    return ids
+
+
+def labelled_sample(rows: DataFrame, most_rows: int, most_chars: int, seed: int) -> list:
+    """The sampled rows (label, doc_id, text) with whole texts: one scan brings
+    ids and lengths, the next the texts."""
+    ids = sampled_ids(rows.select("label", "doc_id", F.length("text").alias("n")), most_rows, most_chars, seed)
     out = rows.where(F.col("doc_id").isin([*ids])).select("label", "doc_id", "text").collect() if ids else []
     return sorted(out, key=lambda r: (r["doc_id"], str(r["label"]), r["text"] or ""))
 

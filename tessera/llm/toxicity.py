@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chars import Frame, frames, ngrams, once, whole
-from tessera.llm.common import labelled_sample, utf8
+from tessera.llm.common import sampled_ids, utf8
 
 BITS, SIZES = 16, (3, 4, 5)
 BUCKETS = (len(SIZES) + 1) << BITS
@@ -142,11 +142,14 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_chars: int = 8_000_000) -> Model:
     """Train on at most `sample` labelled texts (about most_chars characters)
-    that are not held out, as many of either label as there are, up to half."""
+    that are not held out, as many of either label as there are, up to half.
+    Labels meet ids and lengths only; the texts of the sampled ids come after."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(own, "doc_id").where("text IS NOT NULL").select("label", "doc_id", "text")
-    got = labelled_sample(rows, sample, most_chars, seed=21)
-    return train([r["text"] for r in got], [r["label"] for r in got])
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    ids = sampled_ids(texts.select("doc_id", F.length("text").alias("n")).join(own, "doc_id"), sample, most_chars, seed=21)
+    got = texts.where(F.col("doc_id").isin([*ids])).collect() if ids else []
+    got.sort(key=lambda r: (r["doc_id"], str(ids[r["doc_id"]]), r["text"]))
+    return train([r["text"] for r in got], [ids[r["doc_id"]] for r in got])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
