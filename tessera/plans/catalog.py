@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import corpus, records, retrieval
+from tessera.operators import corpus, legal, records, retrieval
 from tessera.plans.dialect import ORACLE, SPARK, tables
 from tessera.streaming import logs
 
@@ -25,8 +25,8 @@ def run(plan) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run(plan) for name, plan in PLANS.items()} | logs.queries() | records.fixtures()
+    return {name: run(plan) for name, plan in PLANS.items()} | logs.queries() | records.fixtures() | legal.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plan(ORACLE) for name, plan in PLANS.items()} | logs.oracle_sql()
+    return {name: plan(ORACLE) for name, plan in PLANS.items()} | logs.oracle_sql() | legal.oracle_sql()
