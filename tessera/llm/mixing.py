@@ -9,6 +9,7 @@ by seeded order within each size until its count is met.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,9 +27,26 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(flat, " "), lambda w: w != "")).cast("long")
 
 
+#: Words of the table that a fit which falls short may always grow to.
+WIDE = 1 << 22
+
+
 def fit(counts: dict[int, int], budget: int, dp_words: int = 20_000) -> dict[int, int]:
     """How many items of each size to take, of counts by size, for a sum as
-    near to budget as the last dp_words words allow, and never above it."""
+    near to budget as the table allows, and never above it. The table decides
+    the last dp_words words; while the sum falls short it grows, up to the whole
+    budget, WIDE words or eight of the longest items, whichever of the last two
+    is more."""
+    best, span = _fit(counts, budget, dp_words), dp_words
+    made = lambda take: sum(s * n for s, n in take.items())
+    most = min(budget, max(WIDE, 8 * max(counts, default=0)))
+    while made(best) < min(budget, made(counts)) and span < most:
+        span = min(most, 8 * span)
+        best = max(best, _fit(counts, budget, span), key=made)
+    return best
+
+
+def _fit(counts: dict[int, int], budget: int, dp_words: int) -> dict[int, int]:
     total = sum(s * c for s, c in counts.items())
     if budget >= total:
         return dict(counts)
@@ -43,23 +61,28 @@ def fit(counts: dict[int, int], budget: int, dp_words: int = 20_000) -> dict[int
         n = min(take[s], max(0, dp_words - left) // s)
         take[s], left = take[s] - n, left + n * s
     if 0 < left <= dp_words:
-        # reach[i]: the sums that the first i chunks can make, as a bit set.
+        # reach: the sums that the chunks so far can make, as a bit set; by[x]:
+        # the chunk that first made x.
         chunks, mask = [], (1 << (left + 1)) - 1
         for s in sorted(counts):
             free, k = min(counts[s] - take[s], left // s), 1
             while free > 0:
                 chunks.append((s, min(k, free)))
                 free, k = free - k, 2 * k
-        reach = [1]
-        for s, k in chunks:
-            reach.append((reach[-1] | reach[-1] << (s * k)) & mask)
-            if reach[-1] >> left & 1:
+        reach, by = 1, np.zeros(left + 1, np.int32)
+        for i, (s, k) in enumerate(chunks):
+            new = (reach << (s * k)) & mask & ~reach
+            if new:
+                low = (new & -new).bit_length() - 1
+                bits = np.frombuffer((new >> low).to_bytes((new.bit_length() - low + 7) // 8, "little"), np.uint8)
+                by[low + np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = i
+                reach |= new
+            if reach >> left & 1:
                 break
-        at = reach[-1].bit_length() - 1
-        for i in range(len(reach) - 1, 0, -1):
-            if not reach[i - 1] >> at & 1:
-                s, k = chunks[i - 1]
-                take[s], at = take[s] + k, at - s * k
+        at = reach.bit_length() - 1
+        while at:
+            s, k = chunks[by[at]]
+            take[s], at = take[s] + k, at - s * k
     return take
 
 
