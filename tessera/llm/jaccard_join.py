@@ -12,7 +12,8 @@ Texts with one word sequence form a class, joined once. Then:
    each rare shingle of its prefix alone. Where a prefix reaches frequent
    shingles it is extended by B and indexes pairs of them within B subclasses:
    similar sets whose common prefix shingles are all frequent share at least
-   B + 1 of those, so two in one subclass.
+   B + 1 of those, so two in one subclass. Sets too small for that (one shingle)
+   index the shingle itself, however frequent.
 3. Verification: a parity bitmap of each set bounds the difference of two sets
    from below, which refutes most candidates in the JVM; the others are compared
    on all their shared shingles. The
@@ -230,9 +231,11 @@ def signatures(n: int, tokens: np.ndarray, percent: int) -> np.ndarray:
     m, need = len(tokens), -(-percent * n // 100)
     base = tokens[: max(0, m - need + 1)]
     frequent = U(FREQUENT) << U(56)
-    out = [base[base < frequent]]
+    sizes = {subclasses(k) for k in (-(-percent * n // 100), n)}
+    # Sets that need not share B + 1 shingles may share no pair of a subclass.
+    out = [base if need <= max(sizes) else base[base < frequent]]
     if len(base) and base[-1] >= frequent:
-        for b in {subclasses(k) for k in (-(-percent * n // 100), n)}:
+        for b in sizes:
             far = tokens[: m - need + b + 1]
             far = far[far >= frequent]
             if len(far) <= b:
