@@ -70,7 +70,7 @@ def grams(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n, count = len(w.hash), np.diff(w.first)
     h = np.zeros(n, np.uint64)
     for j in range(size):
-        h[: n - j] += w.hash[j:] * PLACE[j]
+        h[: max(0, n - j)] += w.hash[j:] * PLACE[j]
     text = np.repeat(np.arange(len(count)), count)
     ok = np.arange(n) + size <= w.first[1:][text] if n else np.zeros(0, bool)
     for i in np.flatnonzero((count > 0) & (count < size)):
