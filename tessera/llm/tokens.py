@@ -39,15 +39,15 @@ class Encoder:
     normaliser) starts a new word at every space before a visible character, so
     texts are cut there; a cut of plain letters, marks and digits falls into
     words at their borders. The library's model encodes each word, and the whole
-    library every cut that is not plain; both are remembered. Any other
-    vocabulary encodes whole texts.
+    library every cut that is not plain; both are remembered. A text that holds
+    an added token of the vocabulary goes through the library whole, as do all
+    texts of any other vocabulary.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -55,6 +55,7 @@ class Encoder:
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.letters = byte_letters()
         self.cells = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
@@ -98,6 +99,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._whole(texts)
+        held = [any(a in t for a in self.added) for t in texts]
+        if any(held):
+            whole = iter(self._whole([t for t, h in zip(texts, held, strict=True) if h]))
+            cut = iter(self._cut([t for t, h in zip(texts, held, strict=True) if not h]))
+            return [next(whole if h else cut) for h in held]
+        return self._cut(texts)
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) + len(self.words) > REMEMBERED:
             known.clear()
