@@ -7,11 +7,15 @@ the `window` before it in that order, in double precision. The verified links
 of all passes are united into components.
 
 How many passes: two vectors at the threshold angle agree on a bit with
-q = 1 - angle / pi. They meet in a window once they agree on the b = log2(N /
-window) bits that tell neighbourhoods apart, so a pass finds them with about
-q ** b; passes are added until the chance to miss them all is below `miss`.
-Closer pairs are found more often. A few passes are dealt out together, so that
-a shuffle holds at most `together` copies of the vectors.
+q = 1 - angle / pi. Each pass measures for each vector the b bits that tell it
+from the vectors `window` places before and after it: all that share them lie
+between, so the pass finds a link of this vector with q ** b or more. In a dense
+region b is large and a pass counts for little. A vector is settled once the
+chance that all its passes miss a link is at most `miss`; passes go on over the
+others (a link of which one end is settled is covered), however many it takes,
+until all are settled or so few are left that comparing each with each costs less
+than the passes that they still need. A few passes are dealt out together, so
+that a shuffle holds at most `together` copies of the vectors.
 
 Windows bound the work, not the answer: within a component all links are then
 counted. In a large component the vectors within half the threshold angle of its
@@ -34,6 +38,9 @@ from tessera.llm.common import Scratch, components, partitions
 
 #: Vectors of a block; a component of more has its centre looked at.
 BLOCK = 512
+#: Vectors of a block where all are compared, and how many such comparisons
+#: cost about as much as one in a window.
+FULL, CHEAP = 2048, 32
 
 
 def passes(n: int, window: int, least: float, miss: float) -> int:
@@ -44,6 +51,28 @@ def passes(n: int, window: int, least: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log1p(-hit)))
 
 
+def agreement(least: float) -> float:
+    """The chance that two vectors at the threshold angle agree on a bit."""
+    return 1 - math.acos(least) / math.pi
+
+
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bits of two signatures are equal, 0 to 64."""
+    x = (a ^ b).view(np.uint64)
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 - np.frexp(high)[1], 64 - np.frexp(low)[1])
+
+
+def _depths(cls: np.ndarray, group: np.ndarray, sig: np.ndarray, window: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, pass, bits) for both ends of each span of window places whose
+    later end is at first to last: the bits that the ends share, -1 across
+    groups."""
+    k = np.arange(max(window, first), last)
+    far = k - window
+    bits = np.where(group[k] == group[far], shared_bits(sig[k], sig[far]), -1)
+    return np.concatenate((cls[k], cls[far])), np.concatenate((group[k], group[far])) >> 32, np.concatenate((bits, bits))
+
+
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, length of each row) of a list column without nulls."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), column.value_lengths().to_numpy(zero_copy_only=False)
@@ -105,13 +134,14 @@ def _window(x: np.ndarray, group: np.ndarray, window: int, least: float, ahead:
 
 
 def _compare(window: int, least: float):
-    """Edges (kind 0) of a sorted partition, and its first (1) and last (2)
-    rows, which its neighbours compare."""
+    """Edges (kind 0) of a sorted partition, its first (1) and last (2) rows,
+    with signatures as b, which its neighbours compare, and the depths of its
+    spans (3) with bits as pos."""
     names = ["kind", "part", "pos", "pass", "dim", "a", "b", "embedding"]
 
     def rows(kind, part, pos, table):
         n = table.num_rows
-        return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), *(table.column(i).combine_chunks() for i in (0, 1, 4)), pa.nulls(n, pa.int64()), table.column(5).combine_chunks()], names)
+        return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), *(table.column(i).combine_chunks() for i in (0, 1, 4, 2)), table.column(5).combine_chunks()], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, held = TaskContext.get().partitionId(), 0, None
@@ -127,6 +157,9 @@ def _compare(window: int, least: float):
             dim = both.column(1).to_numpy()
             group = both.column(0).to_numpy().astype(np.int64) << 32 | dim
             column = both.column(5).combine_chunks()
+            c, p, bits = _depths(cls, group, both.column(2).to_numpy(), window, both.num_rows - table.num_rows, both.num_rows)
+            none = pa.nulls(len(c), pa.int32())
+            yield pa.record_batch([pa.array(np.full(len(c), 3, np.int32)), none, pa.array(bits.astype(np.int64)), pa.array(p.astype(np.int32)), none, pa.array(c), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), column.type)], names)
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
                 fresh = len(held) if held is not None else 0
@@ -156,11 +189,48 @@ def _border(window: int, least: float):
             u, v = _window(_rows(column, at), group[at], window, least, int((at < head).sum()))
             us.append(cls[at[u]])
             vs.append(cls[at[v]])
-        return pa.table({"a": np.concatenate(us), "b": np.concatenate(vs)})
+        u, v = np.concatenate(us), np.concatenate(vs)
+        c, p, bits = _depths(cls, group, table["b"].to_numpy(), window, head, min(len(cls), head + window))
+        none = pa.nulls(len(u), pa.int32())
+        return pa.table(
+            {
+                "a": np.concatenate((u, c)),
+                "b": pa.chunked_array([pa.array(v, pa.int64()), pa.nulls(len(c), pa.int64())]),
+                "pass": pa.chunked_array([none, pa.array(p.astype(np.int32))]),
+                "bits": pa.chunked_array([none, pa.array(bits.astype(np.int32))]),
+            }
+        )
+
+    return run
+
+
+def _pair(least: float):
+    """Edges that join what links within two blocks of one dimension."""
+
+    def run(table: pa.Table) -> pa.Table:
+        one = table["block"].to_numpy()
+        cls, x = table["class"].to_numpy(), _rows(table["embedding"].combine_chunks(), np.arange(len(one)))
+        i, j = np.flatnonzero(one == one.min()), np.flatnonzero(one == one.max())
+        if one.min() == one.max() and table["lo"][0].as_py() != table["hi"][0].as_py():
+            i = i[:0]  # the other block is empty
+        u, v = np.nonzero(x[i] @ x[j].T >= least)
+        low = _joined(len(cls), i[u], j[v])
+        moved = np.flatnonzero(low != np.arange(len(cls)))
+        return pa.table({"a": cls[moved], "b": cls[low[moved]]})
 
     return run
 
 
+def _in_full(rest: DataFrame, n: int, least: float) -> DataFrame:
+    """Edges (a, b) of rest, each vector compared with each."""
+    blocks = -(-n // FULL)
+    block = F.pmod(F.xxhash64(F.lit(11), "class"), F.lit(blocks)).cast("int")
+    dealt = rest.select("class", "embedding", F.size("embedding").alias("dim"), block.alias("block"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("class", "embedding", "dim", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return dealt.groupBy("dim", "lo", "hi").applyInArrow(_pair(least), "a long, b long")
+
+
 def _total(table: pa.Table) -> pa.Table:
     """The sum of unit vectors of one component, or of one salt of it."""
     column = table["embedding"].combine_chunks()
@@ -255,20 +325,37 @@ def vector_components(vectors: DataFrame, least: float = 0.95, window: int = 64,
             break
         seed += 1  # two vectors share a hash: another seed
 
-    n = classes.count()
-    rounds, edges = passes(n, window, least, miss), []
-    for first in range(0, rounds, together):
-        count = min(together, rounds - first)
-        signed = classes.select("class", "embedding").mapInArrow(_sign(first, count, seed), f"pass int, dim int, sig long, tie double, class long, embedding {classes.schema['embedding'].dataType.simpleString()}")
+    # A pass that tells a vector apart by so many bits leaves its links out with
+    # this chance; its log adds up over the passes.
+    q, goal = agreement(least), math.log(miss)
+    rest, n, first, edges = classes.select("class", "embedding", F.lit(0.0).alias("left_out")), classes.count(), 0, []
+    need = passes(n, window, least, miss)
+    while n > CHEAP * window * need:
+        count = min(together, need)
+        signed = rest.select("class", "embedding").mapInArrow(_sign(first, count, seed), f"pass int, dim int, sig long, tie double, class long, embedding {classes.schema['embedding'].dataType.simpleString()}")
         parts = max(1, min(partitions(spark), n * count // (32 * window)))
         dealt = signed.repartitionByRange(parts, "pass", "dim", "sig", "tie").sortWithinPartitions("pass", "dim", "sig", "tie")
         found = dealt.mapInArrow(_compare(window, least), f"kind int, part int, pos long, pass int, dim int, a long, b long, embedding {classes.schema['embedding'].dataType.simpleString()}")
         found = scratch.keep(found, "windows")
         edges.append(found.where("kind = 0").select("a", "b"))
+        spans = found.where("kind = 3").select("a", "pass", F.col("pos").cast("int").alias("bits"))
         if parts > 1 or found.where("part > 0").limit(1).count():
-            side = found.where("kind > 0").withColumn("border", F.col("part") - (F.col("kind") == 1).cast("int"))
-            edges.append(side.groupBy("border").applyInArrow(_border(window, least), "a long, b long"))
-    union = edges[0]
+            side = found.where("kind IN (1, 2)").withColumn("border", F.col("part") - (F.col("kind") == 1).cast("int"))
+            met = scratch.keep(side.groupBy("border").applyInArrow(_border(window, least), "a long, b long, pass int, bits int"), "borders")
+            edges.append(met.where("b IS NOT NULL").select("a", "b"))
+            spans = spans.unionByName(met.where("b IS NULL").select("a", "pass", "bits"))
+        # Both spans of a vector are known, and tell it apart; else the pass does not count.
+        told = spans.groupBy("a", "pass").agg(F.max("bits").alias("bits"), F.count(F.lit(1)).alias("sides")).where("sides = 2 AND bits < 64")
+        told = told.groupBy("a").agg(F.sum(F.log1p(-F.pow(F.lit(q), F.greatest(F.col("bits") + 1, F.lit(1))))).alias("more"))
+        after = rest.join(told.withColumnRenamed("a", "class"), "class", "left")
+        after = after.select("class", "embedding", (F.col("left_out") + F.coalesce("more", F.lit(0.0))).alias("left_out"))
+        rest, first = scratch.keep(after.where(F.col("left_out") > goal), "rest"), first + count
+        n, mean = rest.agg(F.count(F.lit(1)), F.avg("left_out")).first()
+        # Passes that those left need at their pace so far; at least one.
+        need = max(1, math.ceil(first * (goal / min(mean, -1e-9) - 1))) if n else 1
+    if n:
+        edges.append(_in_full(rest, n, least))
+    union = edges[0] if edges else spark.createDataFrame([], "a long, b long")
     for e in edges[1:]:
         union = union.unionByName(e)
     roots = scratch.keep(components(scratch, union), "roots")
