@@ -4,6 +4,7 @@ Arrow text, and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -95,6 +96,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy() -> None:
+    """Give memory that this worker no longer holds back to the system: workers
+    are used again, by tasks of other kinds too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,19 +74,22 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
 def _cut(vocabulary: str, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        tail = np.array([end], "<u4")
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                out = []
-                for d, raw in zip(part.column(0).to_pylist(), enc.encode(pc.fill_null(part.column(1), "").to_pylist()), strict=True):
-                    ids = np.concatenate((np.frombuffer(raw, enc.dtype).astype("<u4"), tail))
-                    bytes_, at = memoryview(ids.tobytes()), 0
-                    for k in range(-(-len(ids) // size)):
-                        to = at + (size if k else (len(ids) - 1) % size + 1)
-                        out.append((d, k, at, to - at, zlib.crc32(bytes_[4 * at : 4 * to])))
-                        at = to
+            row = 0
+            for ids, at in enc.blocks(batch.column(1)):
+                k = len(at) - 1
+                closed = np.full(len(ids) + k, end, "<u4")
+                closed[np.arange(len(ids)) + np.repeat(np.arange(k), np.diff(at))] = ids
+                raw, out = memoryview(closed.view(np.uint8)), []
+                for d, s, n in zip(batch.column(0).slice(row, k).to_pylist(), (at[:-1] + np.arange(k)).tolist(), (np.diff(at) + 1).tolist(), strict=True):
+                    a = 0
+                    for i in range(-(-n // size)):
+                        b = a + (size if i else (n - 1) % size + 1)
+                        out.append((d, i, a, b - a, zlib.crc32(raw[4 * (s + a) : 4 * (s + b)])))
+                        a = b
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                row += k
+        enc.rest()
 
     return run
 

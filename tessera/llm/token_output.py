@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -121,17 +120,19 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack, names = encoder(path), zstandard.ZstdCompressor(1), ["doc_id", "n", "ids"]
         total = np.zeros(0, np.int64)
-        tail = np.array([end], enc.dtype).tobytes()
+        tail, size = np.array([end], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                raw = [x + tail for x in enc.encode(pc.fill_null(part.column(1), "").to_pylist())]
-                count = np.bincount(np.frombuffer(b"".join(raw), enc.dtype))
-                if len(count) > len(total):
-                    count, total = total, count
-                total[: len(count)] += count
-                n = pa.array([len(x) // enc.dtype.itemsize for x in raw], pa.int64())
-                yield pa.record_batch([part.column(0).cast(pa.int64()), n, pa.array([pack.compress(x) for x in raw], pa.binary())], names)
+            row = 0
+            for ids, at in enc.blocks(batch.column(1)):
+                k, raw = len(at) - 1, ids.view(np.uint8)
+                count = np.bincount(ids, minlength=max(len(total), end + 1))
+                count[: len(total)] += total
+                count[end] += k
+                total = count
+                cells = [pack.compress(raw[s:t].tobytes() + tail) for s, t in zip(at[:-1] * size, at[1:] * size, strict=True)]
+                yield pa.record_batch([batch.column(0).slice(row, k).cast(pa.int64()), pa.array(np.diff(at) + 1), pa.array(cells, pa.binary())], names)
+                row += k
+        enc.rest()
         used = np.flatnonzero(total)
         if len(used):
             yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(total[used].astype(np.int64)), pa.nulls(len(used), pa.binary())], names)

@@ -132,7 +132,6 @@ def encoded(end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return [(r[0], [*t.encode(r[1] or "", add_special_tokens=False).ids, end]) for r in rows()]
 
 
