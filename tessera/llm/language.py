@@ -26,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.chars import Frame, frames, ngrams, whole
-from tessera.llm.common import labelled_sample, utf8
+from tessera.llm.common import labelled_sample, tidy, utf8
 
 ROW, WINDOW = 128, 48
+#: Bytes of text that are judged at a time; a longer text is alone.
+BLOCK = 1 << 20
 #: Chains and words that training works on at a time.
 CHAINS, WORDS = 1024, 32768
 TRI, AFFIX, LEXICON = 15, 15, 16
@@ -59,10 +62,12 @@ def emissions(model: Model, f: Frame) -> np.ndarray:
     if not len(f.start):
         return np.zeros((0, len(model.labels)), np.float32)
     tri, affix, lex = features(f)
-    first = np.zeros(len(f.start), np.int64)
-    np.cumsum((f.end - f.start)[:-1], out=first[1:])
-    out = np.add.reduceat(model.tri[tri], first, axis=0)
-    return out + model.affix[affix[:, 0]] + model.affix[affix[:, 1]] + model.lexicon[lex]
+    first = np.append(0, np.cumsum(f.end - f.start))
+    out = model.affix[affix[:, 0]] + model.affix[affix[:, 1]] + model.lexicon[lex]
+    for i in range(0, len(out), WORDS):  # a table of trigram weights for some words at a time
+        j = min(i + WORDS, len(out))
+        out[i:j] += np.add.reduceat(model.tri[tri[first[i] : first[j]]], first[i:j] - first[i], axis=0)
+    return out
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -221,25 +226,41 @@ def train(texts: list[str], langs: list[str], windows: int = 4, epochs: int = 40
     return model
 
 
+def judge(model: Model, text: pa.Array, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text; letter: whether it holds a letter."""
+    labels = np.array([*model.labels, "und"], object)
+    data, offs = utf8(text)
+    langs, scores = [np.zeros(0, object)], [np.zeros(0)]
+    for a, b, f in frames(data, offs, BLOCK):
+        mean = np.zeros((b - a, len(model.labels)))
+        if len(f.start) and model.labels:
+            post = posteriors(emissions(model, f), model.step, f.first)
+            size = np.diff(f.first)
+            some = np.flatnonzero(size)
+            mean[some] = np.add.reduceat(post, f.first[:-1][some], axis=0, dtype=np.float64) / size[some, None]
+        best = mean.argmax(axis=1) if model.labels else np.zeros(b - a, np.int64)
+        known = letter[a:b].astype(bool) & (mean.sum(axis=1) > 0)
+        langs.append(labels[np.where(known, best, len(model.labels))])
+        scores.append(np.clip(np.where(known, mean.max(axis=1, initial=0.0), 0.0), 0.0, 1.0))
+    return np.concatenate(langs), np.concatenate(scores)
+
+
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "held_out", "lang_pred", "score"]
-        labels = np.array([*model.labels, "und"], object)
         for batch in batches:
-            data, offs = utf8(batch.column(2))
-            letter = batch.column(3).to_numpy(zero_copy_only=False)
-            for a, b, f in frames(data, offs):
-                mean = np.zeros((b - a, len(model.labels)))
-                if len(f.start) and model.labels:
-                    post = posteriors(emissions(model, f), model.step, f.first)
-                    size = np.diff(f.first)
-                    some = np.flatnonzero(size)
-                    mean[some] = np.add.reduceat(post, f.first[:-1][some], axis=0, dtype=np.float64) / size[some, None]
-                best = mean.argmax(axis=1) if model.labels else np.zeros(b - a, np.int64)
-                known = letter[a:b].astype(bool) & (mean.sum(axis=1) > 0)
-                score = np.where(known, mean.max(axis=1, initial=0.0), 0.0)
-                part = batch.slice(a, b - a)
-                yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1), pa.array(labels[np.where(known, best, len(model.labels))], pa.string()), pa.array(np.clip(score, 0.0, 1.0))], names)
+            lang, score = judge(model, batch.column(2), batch.column(3).to_numpy(zero_copy_only=False))
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+        tidy()
+
+    return run
+
+
+def _known(model: Model, text: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = judge(model, batch.column(0).field(text), batch.column(1).to_numpy(zero_copy_only=False))
+            yield batch.select([0]).filter(pa.array((lang != "und") & (score >= least)))
+        tidy()
 
     return run
 
@@ -271,6 +292,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None = None, least: float = 0.35) -> DataFrame:
     """The rows of docs, all columns, whose language is known with a score of at
-    least `least`."""
-    found = predict(docs, model or learn(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    least `least`.
+
+    Every row is judged by its own text, so repeated and null ids are rows like
+    any other. Rows whose text is null or has no letter go; so do all rows when
+    nothing was learned, as where no row has a lang.
+    """
+    made = model or learn(docs)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), letter.alias("letter"))
+    held = T.StructType([T.StructField("row", docs.schema)])
+    return rows.mapInArrow(_known(made, docs.columns.index("text"), least), held).select("row.*")
