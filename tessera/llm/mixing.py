@@ -105,52 +105,61 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], mos
         full |= over
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 17, slices: int = 256, dp_words: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target (its
-    source's), taken (size times the repeats drawn, 0 to most).
-
-    Null text has size 0 and is taken 0 times its nothing; a null source is a
-    source of its own, last in order. Equal rows are drawn one by one, in an
-    order that ties leave open, which changes no total. The number of sources
-    is taken to fit the driver (a name and a total each); nothing else of the
-    corpus goes there. The draw ranks within (source, size, slice of the seeded
-    hash), so a size that a third of all rows share splits over the slices.
-    """
+def _drawn(docs: DataFrame, keep: list[Column], weights: tuple[float, ...], most: int, seed: int, slices: int, dp_words: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows of docs as keep with (size, key, copies), the targets by key).
+    key stands for the source, null too."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key")
     pick = F.xxhash64(F.lit(seed), "doc_id")
-    slim = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), pick.alias("pick")).withColumn("slice", F.pmod(F.shiftright("pick", 20), F.lit(slices)).cast("int")), "sizes")
-    per = [(r["source"], r["n"]) for r in slim.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    goal = spark.createDataFrame(targets(per, weights, most), "source string, source_size long, target double")
-    counts = scratch.keep(slim.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "counts")
-
-    plan_of = {s: (n, t) for s, n, t in targets(per, weights, most)}
+    base = [key, n_words(F.col("text")).alias("size"), pick.alias("pick"), F.pmod(F.shiftright(pick, 20), F.lit(slices)).cast("int").alias("slice")]
+    counts = scratch.keep(docs.select(*base).groupBy("key", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "counts")
+    per = [(r["key"][1:] if r["key"] else None, r["n"]) for r in counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("n")).collect()]
+    made = targets(per, weights, most)
+    goal = spark.createDataFrame([("=" + s if s is not None else "", s, n, t) for s, n, t in made], "key string, source string, source_size long, target double")
+    plan_of = {"=" + s if s is not None else "": (n, t) for s, n, t in made}
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        source = pdf["source"].iloc[0]
-        source = None if pd.isna(source) else source
-        size, target = plan_of[source]
+        size, target = plan_of[pdf["key"].iloc[0]]
         have = {int(s): int(n) for s, n in zip(pdf["size"], pdf["n"], strict=True) if s > 0}
         whole = min(most, int(target // size)) if size else 0
         extra = fit(have, int(round(target)) - whole * size, dp_words) if whole < most else {}
-        return pd.DataFrame({"source": [source] * len(pdf), "size": pdf["size"], "whole": whole, "extra": [extra.get(int(s), 0) for s in pdf["size"]]})
+        return pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "whole": whole, "extra": [extra.get(int(s), 0) for s in pdf["size"]]})
 
-    by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    quota = by_size.groupBy("source").applyInPandas(plan, "source string, size long, whole int, extra long")
-    quota = scratch.keep(quota, "quotas")
+    by_size = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
+    quota = scratch.keep(by_size.groupBy("key").applyInPandas(plan, "key string, size long, whole int, extra long"), "quotas")
     # What the slices before this one draw; the rest of the quota is drawn here.
-    before = F.sum("n").over(W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
-    same = lambda a, b, *more: [a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"]), *more]
+    before = F.sum("n").over(W.partitionBy("key", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
     ahead = counts.withColumn("before", F.coalesce(before, F.lit(0)))
-    cut = ahead.join(quota, same(ahead, quota)[0]).select(ahead["source"], ahead["size"], "slice", "whole", (F.col("extra") - F.col("before")).alias("draw"))
-    cut = scratch.keep(cut, "draws")
-    ranked = slim.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("pick", "doc_id")))
-    on = same(ranked, cut)[0] & (ranked["slice"] == cut["slice"])
-    taken = ranked.join(cut, on).select("doc_id", ranked["source"], ranked["size"], (F.col("whole") + (F.col("rank") <= F.col("draw")).cast("int")).alias("copies"))
-    return taken.join(goal, taken["source"].eqNullSafe(goal["source"])).select("doc_id", taken["source"], "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-
-
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix draws it."""
-    drawn = mix_sources(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["doc_id"])).drop(drawn["doc_id"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
+    cut = scratch.keep(ahead.join(quota, ["key", "size"]).select("key", "size", "slice", "whole", (F.col("extra") - F.col("before")).alias("draw")), "draws")
+    order = W.partitionBy("key", "size", "slice").orderBy("pick", "id", "tie")
+    rows = docs.select(*keep, F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), *base)
+    ranked = rows.withColumn("rank", F.row_number().over(order)).drop("pick", "id", "tie")
+    taken = ranked.join(cut, ["key", "size", "slice"]).withColumn("copies", F.col("whole") + (F.col("rank") <= F.col("draw")).cast("int"))
+    return taken.drop("slice", "rank", "whole", "draw"), goal
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 17, slices: int = 256, dp_words: int = 20_000) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target (its
+    source's), taken (size times the repeats drawn, 0 to most), copies.
+
+    Null text has size 0 and is taken 0 times its nothing; a null source is a
+    source of its own, last in order. Rows of equal doc_id and size are drawn one
+    by one, in the order of a hash of their text; equal rows, in any. The number
+    of sources is taken to fit the driver (a name and a total each); nothing else
+    of the corpus goes there. The draw ranks within (source, size, slice of the
+    seeded hash), so a size that a third of all rows share splits over the
+    slices. Other columns are ignored.
+    """
+    rows, goal = _drawn(docs, [F.col("doc_id")], weights, most, seed, slices, dp_words)
+    return rows.join(goal, "key").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def repeat_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 17, slices: int = 256, dp_words: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix draws that row.
+
+    A row of no words is repeated as often as its source as a whole. Repeated
+    and null doc_ids are rows like any other; columns of any names pass through.
+    """
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    rows, _ = _drawn(docs, [row], weights, most, seed, slices, dp_words)
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("nth")).select("row.*")
