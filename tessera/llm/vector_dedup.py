@@ -187,8 +187,10 @@ def _border(window: int, least: float):
         for d in np.unique(dim):
             at = np.flatnonzero(dim == d)
             u, v = _window(_rows(column, at), group[at], window, least, int((at < head).sum()))
-            us.append(cls[at[u]])
-            vs.append(cls[at[v]])
+            low = _joined(len(at), u, v)  # links that span what is joined, not all pairs
+            moved = np.flatnonzero(low != np.arange(len(at)))
+            us.append(cls[at[moved]])
+            vs.append(cls[at[low[moved]]])
         u, v = np.concatenate(us), np.concatenate(vs)
         c, p, bits = _depths(cls, group, table["b"].to_numpy(), window, head, min(len(cls), head + window))
         none = pa.nulls(len(u), pa.int32())
