@@ -16,12 +16,12 @@ Texts with one word sequence form a class, joined once. Then:
    index the shingle itself, however frequent.
 3. Verification: a parity bitmap of each set bounds the difference of two sets
    from below, which refutes most candidates in the JVM; the others are compared
-   on all their shared shingles. The
-   result is the partition into components, so candidate lists are first
-   verified against pivots and each member's nearest other component (linear in
-   the list), components are contracted, and only pairs that are still in
-   different components are then verified in full.
-   Pairs whose list holds one component already need no comparison.
+   on all their shared shingles. The result is the partition into components,
+   so in rounds every list is reduced to one seeded member of each component it
+   holds, which is compared with that of its largest component (linear in the
+   list); components are contracted, and rounds go on while they leave clearly
+   fewer members to compare. Pairs that are still in different components are
+   then verified in full; a list of one component needs no comparison.
 
 Nothing is dropped or capped; the order of steps only saves comparisons.
 """
@@ -33,21 +33,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.llm.common import Scratch, binary, components, mix, utf8
+from tessera.llm.common import Scratch, binary, components, mix, tidy, utf8
 
 U = np.uint64
 #: Shingles per hash bucket, of which there are 32 at least.
-BUCKET = 4_000_000
+BUCKET = 1_500_000
 #: The sketch keeps so many counters a task; common means over total / COMMON.
 COUNTERS, COMMON = 1 << 15, 1 << 17
 #: From this frequency on, prefixes index pairs of shingles.
 FREQUENT = 32
 #: Longs of a parity bitmap; index entries of a sketch.
 WORDS, SKETCH = 16, 8
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
+#: Rounds of representatives go on while they leave at most this share.
+SHRINK = 0.8
 
 
 def _class(digest: bytes) -> int:
@@ -55,11 +58,11 @@ def _class(digest: bytes) -> int:
 
 
 def _survey(seed: int, sketch: bool):
-    """Rows of documents as (doc_id, digest, n) and, with null digest, counters
-    of common shingles as (shingle, null, count)."""
+    """Rows of documents as (doc_id, mark, digest, n) and, with null digest,
+    counters of common shingles as (shingle, null, null, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, val = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        key, val, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), ["id", "mark", "digest", "n"]
         for batch in batches:
             ids = batch.column(0)
             data, offs = utf8(batch.column(1))
@@ -68,7 +71,7 @@ def _survey(seed: int, sketch: bool):
                 tokens, first = S.distinct(*S.grams(w))
                 dig = S.digests(low, o, w, seed)
                 n = np.diff(first)
-                yield pa.record_batch([ids.slice(a, b - a).cast(pa.int64()), pa.array(dig, pa.binary()), pa.array(n.astype(np.int64))], ["id", "digest", "n"])
+                yield pa.record_batch([ids.slice(a, b - a).cast(pa.int64()), batch.column(2).slice(a, b - a), pa.array(dig, pa.binary()), pa.array(n.astype(np.int64))], names)
                 if not sketch:
                     continue
                 _, once = np.unique(np.array(dig, "S16"), return_index=True)
@@ -80,7 +83,8 @@ def _survey(seed: int, sketch: bool):
                     key, val = _fold(key, val)
         key, val = _fold(key, val)
         if len(key):
-            yield pa.record_batch([pa.array(key.astype(np.int64)), pa.nulls(len(key), pa.binary()), pa.array(val)], ["id", "digest", "n"])
+            yield pa.record_batch([pa.array(key.astype(np.int64)), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.binary()), pa.array(val)], names)
+        tidy()
 
     return run
 
@@ -277,7 +281,7 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, pivot_rounds: int = 1, nearest_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest
     doc_id reachable by links of Jaccard similarity >= percent / 100, itself
     included).
@@ -288,12 +292,21 @@ def jaccard_components(docs: DataFrame, percent: int = 75, pivot_rounds: int = 1
     nothing. A null doc_id takes part, but names a component only if all its
     ids are null. Repeated rows give repeated rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    text = docs.select("doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    members, rooted = _members(scratch, docs, percent)
+    lows = scratch.keep(rooted.where("n > 0").groupBy("root").agg(F.min("rep").alias("low")), "lows")
+    named = scratch.keep(rooted.join(lows, "root").select("class", "low"), "named")
+    out = members.select("id", "class", "n").join(named, "class", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _members(scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (id, mark: a hash of the text, class, n, root), and
+    their classes as (class, rep: the smallest id, n, root)."""
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     seed = 0
     while True:
-        survey = text.mapInArrow(_survey(seed, True), "id long, digest binary, n long")
+        survey = text.mapInArrow(_survey(seed, True), "id long, mark long, digest binary, n long")
         survey = scratch.keep(survey, "survey")
         slim = survey.where("digest IS NOT NULL").withColumn("class", _class_column())
         one = slim.groupBy("class").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("id").alias("rep"), F.max("n").alias("n"))
@@ -308,24 +321,20 @@ def jaccard_components(docs: DataFrame, percent: int = 75, pivot_rounds: int = 1
     # At most total / floor shingles can be so common: COMMON of eight bytes.
     common = np.sort(np.array([r["id"] for r in counters.select("id").collect()], np.int64).view(np.uint64))
 
+    # As many partitions as buckets: what a task reads does not grow with the table.
     buckets = max(32, -(-total // BUCKET))
     blocks = text.select("text").mapInArrow(_scatter(seed, buckets, common), "bucket int, classes binary, sizes binary, tokens binary")
-    parts = blocks.groupBy("bucket").applyInArrow(_shared, "class long, m long, part binary")
+    parts = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "class long, m long, part binary")
     sets = parts.groupBy("class").agg(F.sum("m").alias("m"), F.collect_list("part").alias("parts"))
     sets = sets.join(classes.select("class", "n"), "class").where(F.col("m") * 100 >= F.col("n") * percent).select("class", "n", "parts")
     sets = scratch.keep(sets.mapInArrow(_gather, "class long, n long, own long, tokens binary, " + ", ".join(f"w{i} long" for i in range(WORDS))), "sets")
 
     sigs = sets.select("class", "n", "tokens").mapInArrow(_index(percent), "sig long, class long, n long")
     sigs = scratch.keep(sigs.select("sig", "class"), "signatures")
-    near = _links(scratch, sets, sigs, percent, pivot_rounds, nearest_rounds)
-
-    rep = classes.select("class", "rep", "n")
-    rooted = rep.join(near.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = scratch.keep(rooted, "rooted")
-    lows = scratch.keep(rooted.where("n > 0").groupBy("root").agg(F.min("rep").alias("low")), "lows")
-    named = scratch.keep(rooted.join(lows, "root").select("class", "low"), "named")
-    out = slim.select("id", "class", "n").join(named, "class", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))
+    near = _links(scratch, sets, sigs, percent)
+    rooted = classes.select("class", "rep", "n").join(near.withColumnRenamed("node", "class"), "class", "left")
+    rooted = scratch.keep(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
+    return slim.select("id", "mark", "class", "n").join(rooted.select("class", "root"), "class", "left"), rooted
 
 
 def _class_column():
@@ -333,7 +342,7 @@ def _class_column():
     return F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
 
 
-def _links(scratch: Scratch, sets: DataFrame, sigs: DataFrame, percent: int, rounds: int, nearest: int) -> DataFrame:
+def _links(scratch: Scratch, sets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """(node, root) over the classes that have a link."""
     spark = scratch.spark
     tested = None
@@ -353,52 +362,59 @@ def _links(scratch: Scratch, sets: DataFrame, sigs: DataFrame, percent: int, rou
             links = tested.where("linked").select("a", "b")
             roots = scratch.keep(components(scratch, links), "components")
 
-    def rooted() -> DataFrame:
-        own = sigs.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        return scratch.keep(own, "lists")
-
-    lists = sigs.withColumn("root", F.col("class"))
-    for k in range(rounds):
-        # Of each list and component a seeded member; the least component's is the pivot.
-        one = F.min(F.struct(F.xxhash64(F.lit(k), "class"), "class")).alias("x")
-        members = lists.groupBy("sig", "root").agg(one).select("sig", "root", F.col("x.class").alias("a"))
-        pivots = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(k), "root"), "a")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        pivots = scratch.keep(pivots.select("sig", F.col("x.a").alias("b")), "pivots")
-        if pivots.isEmpty():
-            return roots
-        members = scratch.keep(members, "members")
-        check(members.join(pivots, "sig").join(_marks(sets, "a"), "a").join(_marks(sets, "b"), "b").where(_may_link(percent)))
-        lists = rooted()
-    for k in range(nearest + 1):
-        # Members outside a list's largest component against all its members.
-        sizes = lists.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"))
-        top = sizes.groupBy("sig").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        mixed = scratch.keep(lists.join(scratch.keep(top.select("sig", F.col("x.root").alias("top")), "tops"), "sig"), "mixed")
-        few = mixed.where("root <> top").select("sig", F.col("class").alias("a"), F.col("root").alias("r"))
-        if few.isEmpty():
+    # Lists that hold several components; the others are settled.
+    lists, before, k = sigs.withColumn("root", F.col("class")), None, 0
+    while True:
+        # Of each component of a list a seeded member: in the first round the same
+        # one in all lists, so that few pairs arise; then another in each list.
+        seeded = F.xxhash64(F.lit(k), "class") if k == 0 else F.xxhash64(F.lit(k), "sig", "class")
+        held = scratch.keep(lists.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(seeded.alias("h"), "class"))["class"].alias("a")), "held")
+        most = F.max(F.struct("size", F.xxhash64("root"), "root", "a"))
+        tops = held.groupBy("sig").agg(most.alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        tops = scratch.keep(tops.select("sig", F.col("x.root").alias("top"), F.col("x.a").alias("b")), "tops")
+        others = scratch.keep(held.join(tops, "sig").where("root <> top").select("sig", "root", "a", "b"), "others")
+        n = others.count()
+        if not n:
             return roots
-        many = mixed.select("sig", F.col("class").alias("b"), "root")
-        if k < nearest:
-            # Two seeded lists of each, and of each other component the member
-            # whose bitmap differs least: most links that exist are found here.
-            seeded = W.partitionBy("a").orderBy(F.xxhash64(F.lit(k), "sig"), "sig")
-            few = few.withColumn("nth", F.row_number().over(seeded)).where("nth <= 2").drop("nth")
-            few, many = scratch.keep(few.join(_marks(sets, "a"), "a"), "few"), scratch.keep(many.join(_marks(sets, "b"), "b"), "many")
-            near = few.join(many, "sig").where("r <> root").where(_may_link(percent))
-            check(near.groupBy("a", "root").agg(F.min_by("b", _differ()).alias("b")))
-            lists = rooted()
-            continue
-        # In full. A pair comes from the least list that both sketches hold, not
-        # from each list that both are in.
-        least = scratch.keep(sigs.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, SKETCH).alias("least")), "sketches")
-        side = lambda t, c: scratch.keep(t.join(_marks(sets, c), c).join(least.select(F.col("class").alias(c), F.col("least").alias(f"least_{c}")), c), "full")
-        first = F.coalesce(F.array_min(F.array_intersect("least_a", "least_b")) >= F.col("sig"), F.lit(True))
-        pairs = side(few, "a").join(side(many, "b"), "sig")
-        check(pairs.where("r <> root").where(_may_link(percent)).where(first).select("a", "b"))
+        mixed = scratch.keep(lists.join(tops.select("sig", "top"), "sig"), "mixed")
+        if before is not None and n > SHRINK * before:
+            break
+        check(others.select("a", "b").distinct().join(_marks(sets, "a"), "a").join(_marks(sets, "b"), "b").where(_may_link(percent)))
+        own = mixed.select("sig", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
+        lists, before, k = scratch.keep(own.select("sig", "class", F.coalesce("root", "class").alias("root")), "lists"), n, k + 1
+    # In full: members outside a list's largest component against its members. A
+    # pair comes from the least list that both sketches hold, not from each list
+    # that both are in.
+    few = mixed.where("root <> top").select("sig", F.col("class").alias("a"), F.col("root").alias("r"))
+    many = mixed.select("sig", F.col("class").alias("b"), "root")
+    least = scratch.keep(sigs.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, SKETCH).alias("least")), "sketches")
+    side = lambda t, c: scratch.keep(t.join(_marks(sets, c), c).join(least.select(F.col("class").alias(c), F.col("least").alias(f"least_{c}")), c), "full")
+    first = F.coalesce(F.array_min(F.array_intersect("least_a", "least_b")) >= F.col("sig"), F.lit(True))
+    pairs = side(few, "a").join(side(many, "b"), "sig")
+    check(pairs.where("r <> root").where(_may_link(percent)).where(first).select("a", "b"))
     return roots
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id names their component."""
-    kept = jaccard_components(docs, percent).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of docs, all columns, of each component: that with the smallest
+    doc_id; rows without words stay, all of them.
+
+    A null doc_id counts as larger than any other. Of rows that share component
+    and doc_id the one with the smallest hash of its text stays; of equal rows
+    under one doc_id, one. Columns of any other names pass through.
+    """
+    scratch = Scratch(docs.sparkSession, "near-rows")
+    members, _ = _members(scratch, docs, percent)
+    least = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "mark")).alias("low")
+    best = members.where("n > 0").groupBy("root").agg(least).select(F.col("low.id").alias("low_id"), F.col("low.mark").alias("low_mark"))
+    best = scratch.keep(best, "best")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.coalesce(F.col("text"), F.lit("")).rlike(WORD).alias("worded"))
+    out = rows.where("worded").join(best, F.col("id").eqNullSafe(F.col("low_id")) & (F.col("mark") == F.col("low_mark")), "left_semi")
+    blank = rows.where("NOT worded").select("row.*")
+    again = scratch.keep(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return out.select("row.*").unionByName(blank)
+    twice = F.col("id").eqNullSafe(F.col("doc_id"))
+    one = out.join(again, twice, "left_semi").groupBy("id", "mark").agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return out.join(again, twice, "left_anti").select("row.*").unionByName(one.select("row.*")).unionByName(blank)
