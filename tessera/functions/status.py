@@ -74,7 +74,7 @@ def article_status(body: Column) -> Column:
 
 
 # The instrument patterns, in the order they are tried.
-DASHES = r"\-–—"
+DASHES = r"\-‐‑‒–—―−"
 LONG_DATE = r"\d{1,2}[./]\d{1,2}[./]\d{4}"
 
 
@@ -88,7 +88,7 @@ def instrument(raw: Column) -> Column:
     ruling = F.when(F.size(same) > 0, F.element_at(same, 1)).when(F.size(rulings) > 0, F.element_at(rulings, -1)).otherwise("")
     court = lambda name: F.concat(F.lit(name), F.when(ruling != "", F.concat(F.lit(" (K:"), ruling, F.lit(")"))).otherwise(""))
     said = lambda no, kind: F.concat(no, F.lit(f" sayılı {kind}"))
-    sep = rf"[\s{DASHES}.:/]*"
+    sep = rf"(?U)[\s.{DASHES}/]*"
     decree = get(rf"C\.?\s*K{sep}((?:19|20)\d{{2}}/\d+|\d+)")
     number = {
         "khk": get(rf"KHK{sep}(\d+)"),

@@ -17,7 +17,7 @@ SUFFIXES = (
 STOP = ("ve", "veya", "ya", "da", "de", "ki", "mi", "mı", "mu", "mü", "bir", "bu", "şu", "o", "ile", "için", "gibi", "ama", "en", "olabilir", "olur", "olan", "midir", "mıdır")
 PLACEHOLDERS = ("güncelleme çalışmaları devam etmektedir", "guncelleme calismalari devam etmektedir", "işlenmemiştir", "islenmemistir", "henüz işlenmemiş")
 MENU = ("Kanunlar Fihristi", "Cumhurbaşkanlığı Kararnameleri Fihristi", "Yönetmelikler Fihristi", "MEVZUAT BİLGİ SİSTEMİ", "Tüm Hakları Saklıdır", "Bize Ulaşın", "Hukuk ve Mevzuat Genel Müdürlüğü")
-BODY = r"(?i)(MADDE\s*\d|BÖLÜM|karar\s+verilmiştir|karar\s+verilmesi|yürürlüğe\s+girer|hükümlerini\s+yürüt|dayanılarak\s+hazırlan|amaç\s+ve\s+kapsam)"
+BODY = r"(MADDE\s*\d|BÖLÜM|karar\s+verilmiştir|karar\s+verilmesi|yürürlüğe\s+girer|hükümlerini\s+yürüt|dayanılarak\s+hazırlan|amaç\s+ve\s+kapsam)"
 FRAME = (
     r"\d{1,2}\s+\w+\s+\d{4}\s+\w+\s*Resm.?\s*Gazete\s*Say.s.\s*:?\s*\d+",
     r"Resm.?\s*Gazete\s*(Tarihi|Say.s.)\s*:?\s*[\d\.\/]+",
@@ -30,6 +30,8 @@ FRAME = (
     r"(Yönetmelik|Karar|Tebli.|Mevzuat|Madde|Genelge)(Adı|Metni)\s*[–—-]?\s*\d*",
 )
 LEAST_TEXT, LEAST_BODY, HEAD = 50, 80, 2500
+#: White space at the ends of a text, of any script.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 
 
 def fold(x: str) -> str:
@@ -49,20 +51,29 @@ def stem(d: Dialect, x: str) -> str:
     return f"CASE WHEN {head} <> '' THEN {head} ELSE {x} END"
 
 
-def defect(d: Dialect, x: str) -> str:
-    """The first defect of a document's text, or null."""
-    s = f"trim(coalesce({x}, ''))"
+def stripped(d: Dialect, x: str) -> str:
+    """Without white space of any kind at both ends."""
+    return f"trim(BOTH '{WHITE}' FROM {x})" if d.spark else f"trim({x}, '{WHITE}')"
+
+
+def unicode_words(d: Dialect, pattern: str) -> str:
+    """A pattern, of any case, whose word characters are those of all scripts."""
+    return f"(?iuU){pattern}" if d.spark else "(?i)" + pattern.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\s", r"[\s\x{00A0}]")
+
+
+def defect(d: Dialect, x: str, size: str | None = None) -> str:
+    """The first defect of a document's text, or null; size: the file's bytes."""
+    s = stripped(d, f"coalesce({x}, '')")
     head = f"substr({s}, 1, {HEAD})"
     some = lambda words, y: " OR ".join(f"position('{w}' IN {y}) > 0" for w in words)
     menu = " + ".join(f"(CASE WHEN position('{w}' IN {head}) > 0 THEN 1 ELSE 0 END)" for w in MENU)
     body = s
     for p in FRAME:
-        body = d.sub(body, ("(?iu)" if d.spark else "(?i)") + p, " ")
-    body = d.sub(body, r"[\s\W_]+" if not d.spark else r"(?U)[\s\W_]+", "") if d.spark else d.sub(body, r"[^\p{L}\p{N}\p{M}]+", "")
-    if d.spark:
-        body = body.replace(r"(?U)[\s\W_]+", r"[^\p{L}\p{N}\p{M}]+")
-    text = BODY.replace("(?i)", "(?iu)") if d.spark else BODY
-    return f"""CASE WHEN length({s}) < {LEAST_TEXT} THEN 'bos'
+        body = d.sub(body, unicode_words(d, p), " ")
+    body = d.sub(body, r"[^\p{L}\p{N}\p{M}]+", "")
+    text = unicode_words(d, BODY)
+    small = f"{size} < {LEAST_TEXT} OR " if size else ""
+    return f"""CASE WHEN {small}length({s}) < {LEAST_TEXT} THEN 'bos'
  WHEN position('(cid:' IN {head}) > 0 THEN 'cid_bozuk'
  WHEN substr({s}, 1, 1) = 'ÿ' OR position('h#t#m#l' IN {head}) > 0 THEN 'encoding_cop'
  WHEN {some(PLACEHOLDERS, f"lower({head})")} THEN 'metin_pdfte'

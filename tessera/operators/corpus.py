@@ -40,15 +40,32 @@ SELECT p.page_id, e.first_id AS exact_id, coalesce(e.first_id, f.first_id) AS re
 
 
 def entity_resolve_4tier(d: Dialect) -> str:
-    """Number, then type, then name, then the largest series; a hint that leaves
-    no candidate is ignored, and only the last tier is not reliable."""
-    return f"""WITH asked AS (SELECT p_partkey AS q, p_size AS no, split_part(p_type, ' ', 1) AS hint, split_part(p_name, ' ', 1) AS word FROM {d.t('part')} WHERE p_partkey % 10 = 0),
-cand AS (SELECT a.q, c.p_partkey AS c, split_part(c.p_type, ' ', 1) = a.hint AS typed, split_part(c.p_name, ' ', 1) = a.word AS named FROM asked a JOIN {d.t('part')} c ON c.p_size = a.no AND c.p_partkey <> a.q),
-t AS (SELECT *, count(*) OVER (PARTITION BY q) AS n0, sum(CASE WHEN typed THEN 1 ELSE 0 END) OVER (PARTITION BY q) AS n1 FROM cand),
-u AS (SELECT * FROM t WHERE typed OR n1 = 0),
-v AS (SELECT *, count(*) OVER (PARTITION BY q) AS n2, sum(CASE WHEN named THEN 1 ELSE 0 END) OVER (PARTITION BY q) AS n3 FROM u),
-w AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN n3 = 1 AND named THEN 0 ELSE 1 END, c DESC) AS rk FROM v)
-SELECT q, c AS hedef, CASE WHEN n0 = 1 THEN 'numara' WHEN n2 = 1 THEN 'numara+tur' WHEN n3 = 1 THEN 'numara+ad' ELSE 'numara+tertip' END AS yontem, NOT (n0 > 1 AND n2 > 1 AND n3 <> 1) AS guvenilir FROM w WHERE rk = 1"""
+    """Of every row of orders, the part that it cites by number (a size), type
+    hint and name word. One candidate is taken; a hint narrows them unless it
+    leaves none; of several, the only one whose name is said, else the largest
+    series, which alone is not reliable. A citation of itself goes at the end.
+
+    Candidates are counted and their largest members found per number, type and
+    name before the join, which is then by equality and makes one row a
+    citation, however many candidates a number has.
+    """
+    part, orders = d.t("part"), d.t("orders")
+    small = lambda keys: f"SELECT {keys}, count(*) AS n, max(c) AS c FROM cand GROUP BY {keys}"
+    if not d.spark:  # as the cascade reads, candidate by candidate
+        return f"""WITH asked AS (SELECT o_orderkey AS q, o_custkey AS own, cast(o_orderkey % 60 AS int) AS no, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE split_part(p_type, ' ', 1) END AS hint, split_part(p_name, ' ', 1) AS word FROM {orders} JOIN {part} ON p_partkey = o_custkey),
+cand AS (SELECT a.*, p.p_partkey AS c, coalesce(split_part(p.p_type, ' ', 1) = a.hint, false) AS typed, split_part(p.p_name, ' ', 1) = a.word AS named FROM asked a JOIN {part} p ON p.p_size = a.no),
+t AS (SELECT *, count(*) OVER (PARTITION BY q) AS n0, bool_or(typed) OVER (PARTITION BY q) AS any_typed FROM cand),
+v AS (SELECT *, count(*) OVER (PARTITION BY q) AS n, sum(CASE WHEN named THEN 1 ELSE 0 END) OVER (PARTITION BY q) AS nn FROM t WHERE typed OR NOT any_typed),
+w AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN nn = 1 AND named THEN 0 ELSE 1 END, c DESC) AS rk FROM v)
+SELECT q, c AS hedef, CASE WHEN n = 1 AND hint IS NOT NULL THEN 'numara+tur' WHEN n = 1 THEN 'numara' WHEN nn = 1 THEN 'numara+ad' ELSE 'numara+tertip' END AS yontem, n = 1 OR nn = 1 AS guvenilir FROM w WHERE rk = 1 AND c <> own"""
+    return f"""WITH asked AS (SELECT o_orderkey AS q, o_custkey AS own, cast(o_orderkey % 60 AS int) AS no, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE split_part(p_type, ' ', 1) END AS hint, split_part(p_name, ' ', 1) AS word FROM {orders} JOIN {part} ON p_partkey = o_custkey),
+cand AS (SELECT p_size AS no, split_part(p_type, ' ', 1) AS typ, split_part(p_name, ' ', 1) AS word, p_partkey AS c FROM {part}),
+r AS (SELECT a.*, t.n IS NOT NULL AS typed, n0.n AS n0, n0.c AS c0, t.n AS n1, t.c AS c1, w.n AS w0, w.c AS wc0, tw.n AS w1, tw.c AS wc1 FROM asked a
+ JOIN ({small('no')}) n0 ON n0.no = a.no LEFT JOIN ({small('no, typ')}) t ON t.no = a.no AND t.typ = a.hint
+ LEFT JOIN ({small('no, word')}) w ON w.no = a.no AND w.word = a.word LEFT JOIN ({small('no, typ, word')}) tw ON tw.no = a.no AND tw.typ = a.hint AND tw.word = a.word),
+v AS (SELECT q, own, hint, CASE WHEN typed THEN n1 ELSE n0 END AS n, CASE WHEN typed THEN c1 ELSE c0 END AS c, coalesce(CASE WHEN typed THEN w1 ELSE w0 END, 0) AS nn, CASE WHEN typed THEN wc1 ELSE wc0 END AS wc FROM r),
+x AS (SELECT q, own, CASE WHEN nn = 1 THEN wc ELSE c END AS hedef, CASE WHEN n = 1 AND hint IS NOT NULL THEN 'numara+tur' WHEN n = 1 THEN 'numara' WHEN nn = 1 THEN 'numara+ad' ELSE 'numara+tertip' END AS yontem, n = 1 OR nn = 1 AS guvenilir FROM v)
+SELECT q, hedef, yontem, guvenilir FROM x WHERE hedef <> own"""
 
 
 def _edges(d: Dialect) -> str:
@@ -102,9 +119,11 @@ def source_block(d: Dialect) -> str:
 
 
 def citation_resolve(d: Dialect) -> str:
-    """Numbers in a text against the ordinals 1 to 30: valid or made up."""
+    """Bracketed numbers in a text against the ordinals 1 to 30: valid or made up.
+    No text of the table cites, so each is told to, with decoys that do not count."""
     s = d.string
-    found = d.all("text", "([0-9]{1,3})", 1)
+    said = f"concat(coalesce(text, ''), ' [', cast(doc_id % 45 AS {s}), '] (7) ', cast(doc_id AS {s}), ' [1234] [', cast(n_chars % 40 AS {s}), ']')"
+    found = d.all(said, r"\[([0-9]{1,3})\]", 1)
     return f"SELECT doc_id, n, n BETWEEN 1 AND 30 AS gecerli FROM (SELECT DISTINCT doc_id, cast(c AS int) AS n FROM (SELECT doc_id, {found} AS cs FROM {d.t('documents')}), {d.each('cs', 't(c)')})"
 
 
@@ -120,13 +139,25 @@ def venn_labels(d: Dialect) -> str:
 
 
 def name_prefix_match(d: Dialect) -> str:
-    """Same key and one folded name the start of the other; ambiguous keys need
-    the name, others take the only candidate."""
-    p = d.t("pages")
-    key = d.find("url", "://(?:www.|m.|blog.)?([^/?#.]*)", 1)
-    return f"""WITH k AS (SELECT page_id, {key} AS no, substr(upper({d.sub("url", "[^A-Za-z0-9]", "")}), 1, 40) AS ad FROM {p}),
-m AS (SELECT a.page_id AS a, b.page_id AS b, count(*) OVER (PARTITION BY a.page_id) AS n, substr(b.ad, 1, 20) = substr(a.ad, 1, 20) AS same FROM k a JOIN k b ON a.no = b.no AND a.page_id < b.page_id)
-SELECT a, b FROM m WHERE n = 1 OR same"""
+    """Every page and the first other source of its key whose folded name starts
+    as its own does, one way or the other; where a key has one page and one
+    source, that source. Pages stand for texts, events' types of a key for PDFs.
+
+    The first 20 characters decide, of the shorter name all it has: names of 20
+    or more meet by equality of their heads, the shorter ones (of which there
+    are few) by each length that occurs.
+    """
+    key, name = d.find("url", "://(?:www.|m.|blog.)?([^/?#.]*)", 1), f"lower({d.sub('url', '^[a-z]+://[^/]*|[^A-Za-z]', '')})"
+    base = f"""t AS (SELECT page_id, {key} AS no, substr({name}, 1, 20) AS ad FROM {d.t('pages')}),
+p AS (SELECT cast(page_id AS bigint) AS pdf, no, substr(ad, 1, cast(20 - page_id % 12 AS int)) AS ad FROM t WHERE page_id % 3 <> 0),
+many AS (SELECT t.no, count(*) AS nt, max(q.np) AS np, max(q.pdf) AS pdf FROM t JOIN (SELECT no, count(*) AS np, min(pdf) AS pdf FROM p GROUP BY no) q ON q.no = t.no GROUP BY t.no)"""
+    if d.spark:  # by equality of heads: of each length that a name may have
+        cut = "SELECT page_id, no, k, substr(ad, 1, k) AS head, length(ad) AS n FROM t, LATERAL explode(sequence(1, length(ad))) AS l(k)"
+        other = "SELECT no, k, substr(ad, 1, k) AS head, length(ad) AS n, min(pdf) AS pdf FROM p, LATERAL explode(sequence(1, length(ad))) AS l(k) GROUP BY ALL"
+        hit = f"hit AS (SELECT a.page_id, min(b.pdf) AS pdf FROM ({cut}) a JOIN ({other}) b ON a.no = b.no AND a.k = b.k AND a.head = b.head AND a.k = least(a.n, b.n) GROUP BY a.page_id)"
+    else:
+        hit = "hit AS (SELECT t.page_id, min(p.pdf) AS pdf FROM t JOIN p ON t.no = p.no AND t.ad <> '' AND p.ad <> '' AND (starts_with(t.ad, p.ad) OR starts_with(p.ad, t.ad)) GROUP BY t.page_id)"
+    return f"WITH {base}, {hit} SELECT t.page_id AS a, coalesce(h.pdf, m.pdf) AS b FROM t JOIN many m ON m.no = t.no LEFT JOIN hit h ON h.page_id = t.page_id WHERE h.pdf IS NOT NULL OR (m.nt = 1 AND m.np = 1)"
 
 
 PLANS = (quality_gate, garbled_flag, quality_histogram, best_copy, collision_keys, fallback_join, entity_resolve_4tier, link_edges, in_degree_topk, one_hop, page_links, html_text, paragraph_split, source_block, citation_resolve, bucket_status, venn_labels, name_prefix_match)

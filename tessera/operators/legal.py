@@ -1,5 +1,5 @@
-"""Keys, notes, citations and headings as queries: on the fixture rows below,
-and on the driver's tables where their columns can stand in."""
+"""Keys, notes, citations, headings and chunks as queries over whole tables,
+which the hand-written rows below join."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import keys
-from tessera.operators import citations, layout, notes
+from tessera.functions import keys, present
+from tessera.operators import chunks, citations, layout, notes, tree
 
 #: Bodies with amendment marks: single, several, long and unclosed, by the court,
 #: not a mark, and repeated.
@@ -17,7 +17,7 @@ BODIES = (
     ("b", "1", "Madde 1 – (Değişik: 12/3/2010-5950/4 md.) Gövde."),
     ("b", "2", "(Ek: 1/1/2001-4000/1 md.; Mülga: 2/2/2005-5300/3 md.) Gövde."),
     ("b", "3", "(İkinci fıkra mülga: 3/3/2003-4800/2 md. ve devamı kapanmadan sürer"),
-    ("b", "4", "(İptal: Anayasa Mahkemesinin 1/2/2011 tarihli ve E.:2009/1, K.:2011/81 sayılı kararı)"),
+    ("b", "4", "(İptal: Anayasa Mahkemesinin 6/5/2013 tarihli ve E.:2012/7, K.:2013/46 sayılı kararı)"),
     ("b", "5", "(Ekim ayında başlar) ve (ek süre verilir)"),
     ("b", "6", "(Ek: 1/1/2001-4000/1 md.) Bir. (Ek: 1/1/2001-4000/1 md.) İki."),
 )
@@ -46,20 +46,56 @@ LINES = (
 )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("belge"), "text")
+
+
 def mark_rows(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """The amendment marks of the fixture's bodies."""
-    return notes.amendment_marks(spark.createDataFrame([*BODIES], "belge string, madde_id string, govde string"))
+    """The amendment marks of every document's text and of the bodies above."""
+    rows = spark.createDataFrame([*BODIES], "belge string, madde_id string, govde string")
+    if sf_dir:
+        rows = rows.unionByName(_documents(spark, sf_dir).select("belge", F.lit("").alias("madde_id"), F.col("text").alias("govde")))
+    return notes.amendment_marks(rows)
 
 
 def citation_edges(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """The edges that the fixture's basis sentences make."""
+    """The edges that every document's text and the sentences above make; a
+    document is cited by its id, and its type is the id's remainder by 23."""
     rows = spark.createDataFrame([*CATALOGUE], "anahtar string, mevzuatNo string, mevzuatTur int, mevzuatTertip string, mevAdi string, sira int")
-    return citations.edges(spark.createDataFrame([*BASES], "anahtar string, text string"), rows)
+    texts = spark.createDataFrame([*BASES], "anahtar string, text string")
+    if sf_dir:
+        docs = _documents(spark, sf_dir).withColumnRenamed("belge", "anahtar")
+        texts = texts.unionByName(docs)
+        number = F.col("anahtar").cast("long")
+        rows = rows.unionByName(docs.select("anahtar", F.col("anahtar").alias("mevzuatNo"), (number % 23).cast("int").alias("mevzuatTur"), F.lit("5").alias("mevzuatTertip"), F.substring_index("text", ".", 1).alias("mevAdi"), (number + 1000).cast("int").alias("sira")))
+    return citations.edges(texts, rows)
 
 
 def heading_paths(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """The headings of the fixture's lines."""
-    return layout.heading_paths(spark.createDataFrame([("b", i, x) for i, x in enumerate(LINES)], "belge string, sira int, satir string"))
+    """The headings of every document's lines and of the lines above."""
+    rows = spark.createDataFrame([("b", i, x) for i, x in enumerate(LINES)], "belge string, sira int, satir string")
+    if sf_dir:
+        rows = rows.unionByName(_documents(spark, sf_dir).select("belge", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("sira", "satir")))
+    return layout.heading_paths(rows)
+
+
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document's whole text, told by digest."""
+    rows = chunks.chunks(_documents(spark, sf_dir))
+    return rows.select("chunk_id", "tur", "durum", "mulga", F.length("govde").alias("n"), F.md5("govde").alias("govde_md5"))
+
+
+def text_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of every document's whole text: its size and whether it is flat."""
+    rows = tree.parse(_documents(spark, sf_dir).withColumnRenamed("belge", "no"))
+    return rows.select("no", "duz_metin", "madde_sayisi", F.size("kunye_satirlari").alias("kunye"), F.length("ad").alias("ad_n"))
+
+
+def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document a summary and an excerpt about two words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = F.array(F.lit("ation"), F.lit("the"))
+    return docs.select("doc_id", present.summary(present.without_heading(F.col("text"), F.lit(""))).alias("ozet"), present.snippet(F.col("text"), asked).alias("alinti"))
 
 
 def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +117,7 @@ def text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"amendment_marks": mark_rows, "citation_edges": citation_edges, "heading_paths": heading_paths, "plain_names": plain_names, "part_slugs": part_slugs, "text_kinds": text_kinds}
+    return {"amendment_marks": mark_rows, "citation_edges": citation_edges, "heading_paths": heading_paths, "plain_names": plain_names, "part_slugs": part_slugs, "text_kinds": text_kinds, "text_chunks": text_chunks, "text_trees": text_trees, "text_snippets": text_snippets}
 
 
 def oracle_sql() -> dict[str, str]:

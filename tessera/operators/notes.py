@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import collapse, full_reference
-from tessera.functions.status import instrument, lower_tr
+from tessera.functions.status import DASHES, instrument, lower_tr
 
 # The words that open a mark, what may follow them, and the spans.
 KINDS = "Değişik|Ek|Mülga|İptal|Hükümsüz|Yeniden [Dd]üzenleme|mülga|değişik|iptal|hükümsüz"
-DASHES = r"\-‐‑‒–—―−"
 OPENS = rf"(?:{KINDS})(?=[\s:.,;)\d{DASHES}/]|$)"
 CLOSED, HEAD, OPEN = 240, 40, 400
 FOOTNOTE = (

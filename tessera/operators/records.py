@@ -80,7 +80,7 @@ def domain_breakdown(d: Dialect) -> str:
 
 def corpus_counters(d: Dialect) -> str:
     """Counts by source and language, and documents of repeated text."""
-    return f"SELECT source, lang, count(*) AS n, count(DISTINCT text) AS distinct_texts, sum(n_chars) AS chars FROM {d.t('documents')} GROUP BY source, lang"
+    return f"SELECT source, lang, count(*) AS n, count(DISTINCT md5(text)) AS distinct_texts, sum(n_chars) AS chars FROM {d.t('documents')} GROUP BY source, lang"
 
 
 def failure_runs(d: Dialect) -> str:
@@ -90,42 +90,52 @@ def failure_runs(d: Dialect) -> str:
 
 PLANS = (next_turn, carry_heading, body_spans, band_lead_attach, theta_marker_join, anti_known_instruments, tier_join, tree_totals, set_ops, feedback_stats, domain_breakdown, corpus_counters, failure_runs)
 
-#: Bodies of articles, one for each way to a status.
+#: Bodies of articles, one for each way to a status, which join the table's texts.
 ARTICLES = (
-    (1, "Madde 1 – Bu Kanunun amacı, vergi usulünü ve mükelleflerin haklarını açık biçimde düzenlemektir ve uygulamayı göstermektir."),
-    (2, "Madde 5 – (Mülga: 12/3/2010-5950/4 md.)"),
-    (3, "Madde 20 ilâ 25 – (Mülga: 4/6/1985 - 3217/5 md.)"),
-    (4, "Madde 7 – (Mülga: 1/1/2001-4000/1 md.) (Yeniden düzenleme: 2/2/2005-5300/3 md.) Başvuru otuz gün içinde yapılır."),
-    (5, "Madde 9 – (Mülga fıkra: 1/1/2001-4000/1 md.) Kurumlar her yıl sonunda hesaplarını denetime açar ve sonuçları bir raporla bakanlığa bildirir."),
-    (6, "Madde 30 – (1) (Kaldırılan hükümler ile ilgili olup yerine işlenmiştir.)"),
-    (7, "Madde 8 – (İptal ibare: 3/3/2003) Süre otuz gündür, sonra uzar yine."),
-    (8, "Madde 11 – (İptal fıkra: 3/3/2003)"),
+    (-1, "Madde 1 – Bu Kanunun amacı, vergi usulünü ve mükelleflerin haklarını açık biçimde düzenlemektir ve uygulamayı göstermektir."),
+    (-2, "Madde 5 – (Mülga: 12/3/2010-5950/4 md.)"),
+    (-3, "Madde 20 ilâ 25 – (Mülga: 4/6/1985 - 3217/5 md.)"),
+    (-4, "Madde 7 – (Mülga: 1/1/2001-4000/1 md.) (Yeniden düzenleme: 2/2/2005-5300/3 md.) Başvuru otuz gün içinde yapılır."),
+    (-5, "Madde 9 – (Mülga fıkra: 1/1/2001-4000/1 md.) Kurumlar her yıl sonunda hesaplarını denetime açar ve sonuçları bir raporla bakanlığa bildirir."),
+    (-6, "Madde 30 – (1) (Kaldırılan hükümler ile ilgili olup yerine işlenmiştir.)"),
+    (-7, "Madde 8 – (İptal ibare: 3/3/2003) Süre otuz gündür, sonra uzar yine."),
+    (-8, "Madde 11 – (İptal fıkra: 3/3/2003)"),
 )
-#: Notes, one for each branch of the instrument cascade.
+#: Notes, one for each branch of the instrument cascade, which join them too.
 NOTES = (
-    (1, "(İptal: Danıştay 8. D. 3/4/2012 E:2010/1, K:2012/55)"),
-    (2, "(İptal: Anayasa Mahkemesinin 1/2/2011 tarihli E.:2009/1, K.:2011/81 sayılı kararı)"),
-    (3, "(Değişik: 2/7/2018-KHK-703/4 md.)"),
-    (4, "(Değişik: 5/5/2022-CK-2022/310)"),
-    (5, "(Ek: 10/7/2018-CK-4/2 md.)"),
-    (6, "(Ek: 1/2/1990 1200 S.Karar)"),
-    (7, "(Değişik: 3/3/1999-99/12345 K.)"),
-    (8, "(Değişik: RG-5/6/2007-26543)"),
-    (9, "(Değişik: 12/3/2010-5950/4 md.)"),
-    (10, "(Ek: 6360 sayılı Kanunla)"),
-    (11, "(Mülga)"),
+    (-1, "(İptal: Danıştay 8. D. 3/4/2012 E:2010/1, K:2012/55)"),
+    (-2, "(İptal: Anayasa Mahkemesinin 6/5/2013 tarihli E.:2012/7, K.:2013/46 sayılı kararı)"),
+    (-3, "(Değişik: 2/7/2018-KHK-703/4 md.)"),
+    (-4, "(Değişik: 5/5/2021-CK-2021/418)"),
+    (-5, "(Ek: 10/7/2018-CK-4/2 md.)"),
+    (-6, "(Ek: 1/2/1990 873 S.Karar)"),
+    (-7, "(Değişik: 3/3/1999-99/12345 K.)"),
+    (-8, "(Değişik: RG-5/6/2007-26543)"),
+    (-9, "(Değişik: 12/3/2010-5950/4 md.)"),
+    (-10, "(Ek: 5216 sayılı Kanunla)"),
+    (-11, "(Mülga)"),
+    (-12, "(Değişik: 12/3/2010‑5950/4 md.)"),
+    (-13, "(Ek: 2/7/2018-KHK‐702/1 md.)"),
+    (-14, "(Ek: KHK:5, 3/3/1999 gün ve 411 sayılı)"),
 )
 
 
+def _with_rows(spark: SparkSession, sf_dir: str, rows: tuple, names: str) -> DataFrame:
+    """The whole texts of documents, and hand-written rows under ids below 0."""
+    own = spark.createDataFrame([*rows], names)
+    key, text = own.columns
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias(key), F.col("text").alias(text)).unionByName(own) if sf_dir else own
+
+
 def article_statuses(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """Article bodies of the fixture with status and repeal flag."""
-    rows = spark.createDataFrame([*ARTICLES], "madde int, govde string")
+    """Every document's text, and the bodies above, with status and repeal flag."""
+    rows = _with_rows(spark, sf_dir, ARTICLES, "madde long, govde string")
     return rows.select("madde", article_status(F.col("govde")).alias("durum")).withColumn("mulga", F.col("durum") == "geçersiz")
 
 
 def instrument_cascade(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """Amendment notes of the fixture with date and instrument."""
-    rows = spark.createDataFrame([*NOTES], "no int, ham string")
+    """The date and instrument of every document's text, and of the notes above."""
+    rows = _with_rows(spark, sf_dir, NOTES, "no long, ham string")
     return rows.select("no", instrument(F.col("ham")).alias("x")).select("no", "x.tarih", "x.arac")
 
 

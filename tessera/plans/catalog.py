@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import corpus, legal, records, retrieval
+from tessera.plans import index
 from tessera.plans.dialect import ORACLE, SPARK, tables
 from tessera.streaming import logs
 
@@ -17,6 +18,9 @@ def run(plan) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = plan(SPARK)
         for name in tables(sql):
+            if name in index.PARTS:
+                spark.read.parquet(f"{index.build(spark, sf_dir)}/{name}").createOrReplaceTempView(f"tessera_{name}")
+                continue
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"tessera_{name}")
         return spark.sql(sql)
 

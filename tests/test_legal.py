@@ -29,8 +29,8 @@ def test_type_hint(spark):
 
 
 def test_cells(spark):
-    got = one(spark, keys.cell_articles, "19, 49, Geçici Madde 13", "8/A", "Kanunun Adı, 1, 3", "Ek Madde 2, 5 / b", None)
-    assert got == [["19", "49", "Geçici 13"], ["8/A"], ["1", "3"], ["Ek 2", "Ek 5/b"], []]
+    got = one(spark, keys.cell_articles, "17, 52, Geçici Madde 6", "8/A", "Kanunun Adı, 1, 3", "Ek Madde 2, 5 / b", None)
+    assert got == [["17", "52", "Geçici 6"], ["8/A"], ["1", "3"], ["Ek 2", "Ek 5/b"], []]
     assert one(spark, keys.effective_date, "1/1/2018 (9/7/2018)", "yayımı 2/3/2004", "yayımı") == ["9/7/2018", "2/3/2004", "yayımı"]
 
 
@@ -41,11 +41,11 @@ def test_articles(spark):
 
 
 def test_references(spark):
-    names = ("Anayasa Mahkemesi kararı (K:2011/81)", "5950 sayılı Kanun", "R.G. 5/6/2007", None)
-    assert one(spark, keys.instrument_id, *names) == ["AYM-2011/81", "5950", "2007", ""]
+    names = ("Anayasa Mahkemesi kararı (K:2014/52)", "5950 sayılı Kanun", "R.G. 5/6/2007", None)
+    assert one(spark, keys.instrument_id, *names) == ["AYM-2014/52", "5950", "2007", ""]
     assert one(spark, keys.instrument_class, *names) == ["AYM", "5950", "2007", ""]
-    said = ("Ek: 1/1/2008-5786/6 md.", "5786 sayılı Kanunun 5 inci maddesiyle", "Anayasa Mahkemesinin K.: 2026/25", "Mülga: 1/1/2001")
-    assert one(spark, keys.full_reference, *said) == ["5786/6", "5786/5", "AYM-2026/25", ""]
+    said = ("Ek: 1/1/2008-5431/9 md.", "5431 sayılı Kanunun 5 inci maddesiyle", "Anayasa Mahkemesinin K.: 2019/33", "Mülga: 1/1/2001")
+    assert one(spark, keys.full_reference, *said) == ["5431/9", "5431/5", "AYM-2019/33", ""]
 
 
 def test_marks(spark):
@@ -55,26 +55,26 @@ def test_marks(spark):
         ("2", 1, "ek", "1/1/2001", "4000 sayılı Kanun"),
         ("2", 2, "mulga", "2/2/2005", "5300 sayılı Kanun"),
         ("3", 1, "mulga", "3/3/2003", "4800 sayılı Kanun"),
-        ("4", 1, "iptal", "1/2/2011", "Anayasa Mahkemesi kararı (K:2011/81)"),
+        ("4", 1, "iptal", "6/5/2013", "Anayasa Mahkemesi kararı (K:2013/46)"),
         ("6", 1, "ek", "1/1/2001", "4000 sayılı Kanun"),
     ]
 
 
 def test_footnotes(spark):
-    text = "Gövde. 1 Bu maddede yer alan  “on” ibaresi, 5786 sayılı Kanunun 5 inci maddesiyle değiştirilmiştir. Son."
-    assert one(spark, notes.footnotes, text) == [["Bu maddede yer alan “on” ibaresi, 5786 sayılı Kanunun 5 inci maddesiyle değiştirilmiştir."]]
+    text = "Gövde. 1 Bu maddede yer alan  “on” ibaresi, 5431 sayılı Kanunun 5 inci maddesiyle değiştirilmiştir. Son."
+    assert one(spark, notes.footnotes, text) == [["Bu maddede yer alan “on” ibaresi, 5431 sayılı Kanunun 5 inci maddesiyle değiştirilmiştir."]]
     note = "son 1234 Bu madde 1/7/2012 tarihinden itibaren 8 yıl süreyle uygulanmaz. Sonra uygulanır. Bu Kanun 1/1/2013 tarihinden itibaren uygulanır."
     got = [(r["no"], r["tur"]) for r in one(spark, notes.temporary_notes, note)[0]]
     assert got == [("234", "uygulama"), ("", "yururluk")]
 
 
 def test_details_and_shared_notes(spark):
-    told = "Bu fıkra, 5786 sayılı Kanunun 5 inci maddesiyle değiştirilmiştir."
+    told = "Bu fıkra, 5431 sayılı Kanunun 5 inci maddesiyle değiştirilmiştir."
     note = "2 Bu madde 1/7/2012 tarihinden itibaren iki yıl uygulanmaz, sonra uygulanır."
-    rows = [("b", "1", 1, "Amaç2", "(Değişik: 1/1/2008-5786/5 md.) Gövde."), ("b", "2", 2, "Kapsam (234)", told), ("b", "3", 3, "Süre 3", note)]
+    rows = [("b", "1", 1, "Amaç2", "(Değişik: 1/1/2008-5431/5 md.) Gövde."), ("b", "2", 2, "Kapsam (234)", told), ("b", "3", 3, "Süre 3", note)]
     articles = spark.createDataFrame(rows, "belge string, madde_id string, seq int, baslik string, govde string")
     got = notes.with_details(notes.amendment_marks(articles), articles, "seq").collect()
-    assert [(r["madde_id"], r["ref"], r["detay"]) for r in got] == [("1", "5786/5", told)]
+    assert [(r["madde_id"], r["ref"], r["detay"]) for r in got] == [("1", "5431/5", told)]
     assert {(r["madde_id"], r["no"]) for r in notes.shared_notes(articles).collect()} == {("1", "2"), ("2", "2")}
 
 
@@ -99,9 +99,9 @@ def test_citation_edges(spark):
 
 def test_tail(spark):
     body = "Madde 1 - " + "metin " * 100
-    title = "4/8/1952 TARİHLİ VE 3/1 SAYILI TÜZÜĞE EK VE DEĞİŞİKLİK GETİREN TÜZÜKLER"
+    title = "9/3/1961 TARİHLİ VE 3/1 SAYILI TÜZÜĞE EK VE DEĞİŞİKLİK GETİREN TÜZÜKLER"
     early = "yürürlüğe koyan " + body
-    late = body + "kararın yürürlüğe giriş tarihini erteler"
+    late = body + "kararın yürürlüğe giriş tarihini öne alır"
     table = body + "YÜRÜRLÜĞE GİRİŞ TARİHİNİ GÖSTEREN"
     assert one(spark, layout.tail_start, body + title, early, late, table, None) == [len(body), len(early), len(late), len(body), 0]
     assert one(spark, layout.tail_kind, title, "İŞLENEMEYEN HÜKÜMLER", "\nMadde 3 - x", "x") == ["cizelge", "ek_hukum", "yanlis", "cop"]
@@ -114,9 +114,9 @@ def test_headings(spark):
 
 def test_readers(spark, tmp_path):
     row = lambda no, day, name: json.dumps({"mevzuatNo": no, "mevzuatTur": 1, "mevzuatTertip": "5", "resmiGazeteTarihi": day, "mevAdi": name})
-    (tmp_path / "k.jsonl").write_text("\n".join([row("1", "04/07/2026", "a"), "", row("1", "05/07/2026", "b"), row("1", "05/07/2026", "c"), row("2", None, "d")]))
+    (tmp_path / "k.jsonl").write_text("\n".join([row("1", "11/02/2021", "a"), "", row("1", "12/02/2021", "b"), row("1", "12/02/2021", "c"), row("2", None, "d")]))
     got = {r["anahtar"]: r["mevAdi"] for r in readers.catalogue(spark, str(tmp_path / "k.jsonl")).collect()}
-    assert got == {"1_1_5_04072026": "a", "1_1_5_05072026": "b", "2_1_5": "d"}
+    assert got == {"1_1_5_11022021": "a", "1_1_5_12022021": "b", "2_1_5": "d"}
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{oops\n{"a": 2}\n')
     assert [r["a"] for r in readers.json_lines(spark, str(tmp_path / "bad.jsonl"), "a int", strict=False).collect()] == [1, 2]
     try:
