@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, present
-from tessera.operators import chunks, citations, layout, notes, tree
+from tessera.operators import citations, layout, notes, tree
 
 #: Bodies with amendment marks: single, several, long and unclosed, by the court,
 #: not a mark, and repeated.
@@ -79,12 +79,6 @@ def heading_paths(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     return layout.heading_paths(rows)
 
 
-def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of every document's whole text, told by digest."""
-    rows = chunks.chunks(_documents(spark, sf_dir))
-    return rows.select("chunk_id", "tur", "durum", "mulga", F.length("govde").alias("n"), F.md5("govde").alias("govde_md5"))
-
-
 def text_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of every document's whole text: its size and whether it is flat."""
     rows = tree.parse(_documents(spark, sf_dir).withColumnRenamed("belge", "no"))
@@ -117,7 +111,7 @@ def text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"amendment_marks": mark_rows, "citation_edges": citation_edges, "heading_paths": heading_paths, "plain_names": plain_names, "part_slugs": part_slugs, "text_kinds": text_kinds, "text_chunks": text_chunks, "text_trees": text_trees, "text_snippets": text_snippets}
+    return {"amendment_marks": mark_rows, "citation_edges": citation_edges, "heading_paths": heading_paths, "plain_names": plain_names, "part_slugs": part_slugs, "text_kinds": text_kinds, "text_trees": text_trees, "text_snippets": text_snippets}
 
 
 def oracle_sql() -> dict[str, str]:
