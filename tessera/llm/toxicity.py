@@ -82,7 +82,7 @@ def train(texts: list[str | None], toxic: list[int], dim: int = 8, epochs: int =
         for s in range(0, len(order), batch):
             step += 1
             own = order[s : s + batch]
-            # Half of each bag at a time: no text can be known by one n-gram.
+            # A seeded share of each bag at a time: no text can be known by one n-gram.
             part = [rng.random(len(rows[i][0])) < keep for i in own]
             own, part = own[[p.any() for p in part]], [p for p in part if p.any()]
             if not len(own):
