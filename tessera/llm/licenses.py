@@ -8,50 +8,45 @@ not depend on the corpus, which is what bounds its broadcast.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known texts by licence id; one id may have several texts.
-KNOWN: tuple[tuple[str, str], ...] = (
+#: One-line notices by licence id; one id may have several texts.
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    (
-        "MIT",
-        """MIT License
-
-Copyright (c) <year> <copyright holders>
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+)
+#: Shorter texts are also known without their title, and with bullets for numbers.
+SHORT = 4000
 
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    ),
-    (
-        "ISC",
-        """ISC License
 
-Copyright (c) <year> <owner>
+def _variants(text: str) -> set[str]:
+    """A whole text as it is; a short one also in the forms in which it circulates."""
+    if len(text) > SHORT:
+        return {text}
+    title, _, body = text.partition("\n\n")
+    out = {text} if "\n" in title or len(title) > 60 or not body else {text, body}
+    return out | {re.sub(r"(?m)^[ \t]*\d+\. ", "* ", x) for x in out}
 
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    ),
-    (
-        "0BSD",
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+@cache
+def texts_known() -> tuple[tuple[str, str], ...]:
+    """The notices above and the variants of the whole texts in license_texts,
+    a file a licence, named by its id."""
+    files = sorted((f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return (*NOTICES, *((f.name[:-4], x) for f in files for x in sorted(_variants(f.read_text("utf-8")))))
 
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    ),
-)
 
 #: Equivalent spellings, applied in this order to lower-cased text.
 SPELLINGS = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub-license", "sublicense"),
     ("noninfringement", "non infringement"),
     ("merchantibility", "merchantability"),
@@ -62,8 +57,9 @@ SPELLINGS = (
     ("per cent", "percent"),
     ("https://", "http://"),
 )
-#: A line that states a copyright, or grants all rights reserved, alone on its line.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that states a copyright, or reserves all rights. A sentence that goes
+#: on with "copyright" on a new line, or an item (c) of a list, is none.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t:]*(\(c\)|©|[0-9<{\[]|by |the )|\(c\)[ \t]*(copyright|[0-9<{\[])|©|all rights reserved)[^\n]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,19 +73,20 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{00A0}\x{2013}\x{2014}\x{2018}-\x{201D}]+", " "))
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """(license, digest), one row per digest; of ids with one form, the least."""
-    table = spark.createDataFrame([*texts], "license string, text string")
+    table = spark.createDataFrame([*(texts or texts_known())], "license string, text string")
     return table.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """One row per document: doc_id, canonical_sha256, license (null: unknown).
 
     Null or empty text, or text of punctuation alone, has the digest of the
     empty form and no licence. Repeated rows give repeated rows; other columns
     are ignored.
     """
+    texts = texts or texts_known()
     if len(texts) > 10_000:
         raise ValueError("more known texts than the broadcast is meant for")
     rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
@@ -107,7 +104,7 @@ def oracle() -> str:
         form = f"replace({form}, {q(old)}, {q(new)})"
     marks = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{00A0}\x{2013}\x{2014}\x{2018}-\x{201D}]+"
     form = f"trim(regexp_replace({form}, '{marks}', ' ', 'g'))"
-    values = ", ".join(f"({q(a)}, {q(b)})" for a, b in KNOWN)
+    values = ", ".join(f"({q(a)}, {q(b)})" for a, b in texts_known())
     return f"""WITH texts(license, text) AS (VALUES {values}),
 known AS (SELECT sha256({form}) AS digest, min(license) AS license FROM texts WHERE {form} <> '' GROUP BY 1)
 SELECT d.doc_id, d.digest AS canonical_sha256, k.license

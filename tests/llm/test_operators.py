@@ -217,7 +217,7 @@ def test_fit_is_exact_when_it_can_be():
 
 
 def test_licenses(spark, none):
-    texts = [licenses.KNOWN[5][1].replace("License", "LICENCE").replace(".", " . "), "Released under the MIT License", "released under the mit licence!", "Some text. Released under the MIT License.", None, "", "...", "(c) 2020 me\nLicensed under CC BY-NC 4.0."]
+    texts = [dict(licenses.texts_known())["MIT"].replace("License", "LICENCE").replace(".", " . "), "Released under the MIT License", "released under the mit licence!", "Some text. Released under the MIT License.", None, "", "...", "(c) 2020 me\nLicensed under CC BY-NC 4.0."]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string")
     assert [r["license"] for r in sorted(licenses.scan(df).collect())] == ["MIT", "MIT", "MIT", None, None, None, None, "CC-BY-NC-4.0"]
     assert licenses.scan(none).count() == 0
