@@ -270,12 +270,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = 3000, most_chars: int = 4_000_000) -> Model:
+def learn(docs: DataFrame, sample: int = 3000, most_chars: int = 4_000_000, windows: int = 4) -> Model:
     """Train on at most `sample` texts that are not held out, evenly by language,
-    in seeded order, and on about most_chars characters of them (whole texts)."""
+    in seeded order, and on about most_chars characters of them, of which at most
+    `windows` seeded windows of WINDOW words a text are read."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select(F.col("lang").alias("label"), "doc_id", "text")
     got = labelled_sample(rows, sample, most_chars, seed=9)
-    return train([r["text"] for r in got], [r["label"] for r in got])
+    return train([r["text"] for r in got], [r["label"] for r in got], windows)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
