@@ -154,7 +154,7 @@ def instrument_class(name: Column) -> Column:
 
 
 def full_reference(x: Column) -> Column:
-    """'5786/6', law and amending article, or 'AYM-2026/25'; empty if not whole."""
+    """Law and amending article with a slash between, or AYM- and the ruling; empty if not whole."""
     ruling = _ruling(x)
     pair = lambda p: F.when(x.rlike(p), F.concat(F.regexp_extract(x, p, 1), F.lit("/"), F.regexp_extract(x, p, 2)))
     return (

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import article_id, even_spaces, strip
@@ -23,6 +23,7 @@ WORD = r"(?:MADDE|Madde|madde)"
 ONE = re.compile(rf"(?P<kind>{SPECIAL})?{WORD}\s+(?P<no>{NUMBER})\s*(?:{DASH}|[.)(:])")
 SPAN = re.compile(rf"(?P<kind>{SPECIAL})?{WORD}\s+(?P<no>{NUMBER})\s*(?:il[aâ]|İL[AÂ]|[-–—])\s*(?P<to>{NUMBER})\s*(?:{DASH}|\.)")
 CUTS = "array<struct<start:int,stop:int,kind:string,no:string,upto:string>>"
+PARTS = "array<struct<tur:string,madde_id:string,govde:string>>"
 
 
 def stands_alone(text: str, at: int) -> bool:
@@ -70,34 +71,41 @@ def chunks(documents: DataFrame) -> DataFrame:
     the next header or the tail) and its tail: paragraphs of provisions that were
     not worked in (ek_hukum), or one schedule (cizelge). Any other text is its
     paragraphs (paragraf). Defective texts have no chunks, nor does a tail of any
-    other kind. chunk_id numbers a document's chunks from 1.
+    other kind. chunk_id numbers a document's chunks from 1; belge is the texts' key,
+    so a repeated one repeats its ids.
     """
     rows = documents.select("belge", even_spaces(F.coalesce("text", F.lit(""))).alias("text"))
     rows = rows.withColumn("kova", text_kind("text")).where("kova <> 'K5'")
     rows = rows.withColumn("upto", tail_start(F.col("text")))
     articles = F.col("kova").isin("K1", "K3")
-    rows = rows.withColumn("cuts", F.when(articles, header_cuts(F.when(articles, F.col("text")), F.col("upto"))))
-    has = F.size(F.coalesce("cuts", F.array().cast(CUTS))) > 0
-    rows = rows.withColumn("has", has)
-    text = F.col("text")
-
-    part = lambda kind, at, body, no=None: (F.lit(kind).alias("tur"), at.alias("at"), body.alias("govde"), (no if no is not None else F.lit("")).alias("madde_id"))
-    first = F.when(F.col("has"), F.get("cuts", F.lit(0))["start"])
-    opening = rows.where("has").select("belge", *part("kunye", F.lit(-1), strip(text.substr(F.lit(1), first))))
-    ends = F.transform("cuts", lambda c, i: F.struct(c.alias("c"), i.alias("i"), F.coalesce(F.get("cuts", i + 1)["start"], F.col("upto")).alias("end")))
-    each = rows.where("has").select("belge", "text", F.explode(ends).alias("x"))
-    body = strip(F.col("text").substr(F.col("x.c.start") + 1, F.col("x.end") - F.col("x.c.start")))
-    article = each.select("belge", *part("madde", F.col("x.i"), body, article_id(F.col("x.c.kind"), F.col("x.c.no"), F.col("x.c.upto"))))
-    late = rows.where("has").select("belge", strip(text.substr(F.col("upto") + 1, F.length("text") - F.col("upto") + 1)).alias("tail")).where(F.length("tail") >= LEAST_PART)
-    late = late.withColumn("kind", tail_kind(F.col("tail")))
-    far = 1 << 30
-    added = late.where("kind = 'ek_hukum'").select("belge", F.posexplode(paragraphs(F.col("tail"))).alias("p", "govde")).select("belge", *part("ek_hukum", F.lit(far) + F.col("p"), F.col("govde")))
-    schedule = late.where("kind = 'cizelge'").select("belge", *part("cizelge", F.lit(far), F.col("tail")))
-    prose = rows.where("NOT has").select("belge", F.posexplode(paragraphs(text)).alias("p", "govde")).select("belge", *part("paragraf", F.col("p"), F.col("govde")))
-    out = opening.where(F.length("govde") >= LEAST_PART).unionByName(article).unionByName(added).unionByName(schedule).unionByName(prose)
+    rows = rows.withColumn("cuts", F.coalesce(F.when(articles, header_cuts(F.when(articles, F.col("text")), F.col("upto"))), F.array().cast(CUTS)))
+    text, has = F.col("text"), F.size("cuts") > 0
+    rows = rows.withColumn("tail", F.when(has, strip(text.substr(F.col("upto") + 1, F.length("text") - F.col("upto") + 1))))
+    rows = rows.withColumn("kind", F.when(F.length("tail") >= LEAST_PART, tail_kind(F.col("tail"))))
+
+    def part(kind: str, body: Column, no: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("tur"), (F.lit("") if no is None else no).alias("madde_id"), body.alias("govde"))
+
+    def article(c: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("cuts", i + 1)["start"], F.col("upto"))
+        return part("madde", strip(text.substr(c["start"] + 1, end - c["start"])), article_id(c["kind"], c["no"], c["upto"]))
+
+    # All of a document's parts in order, as one array: its text is passed once,
+    # and no shuffle numbers them.
+    some = lambda when, parts: F.when(when, parts).otherwise(F.array().cast(PARTS))
+    opening = F.filter(F.array(part("kunye", strip(text.substr(F.lit(1), F.get("cuts", F.lit(0))["start"])))), lambda x: F.length(x["govde"]) >= LEAST_PART)
+    added = F.transform(paragraphs(F.col("tail")), lambda p: part("ek_hukum", p))
+    prose = F.transform(paragraphs(text), lambda p: part("paragraf", p))
+    parts = F.concat(
+        some(has, opening.cast(PARTS)),
+        F.transform("cuts", article).cast(PARTS),
+        some(F.col("kind") == "ek_hukum", added.cast(PARTS)),
+        some(F.col("kind") == "cizelge", F.array(part("cizelge", F.col("tail"))).cast(PARTS)),
+        some(~has, prose.cast(PARTS)),
+    )
+    out = rows.select("belge", F.posexplode(parts).alias("p", "part")).select("belge", (F.col("p") + 1).alias("sira"), "part.*")
     out = out.withColumn("durum", F.when(F.col("tur").isin("madde", "paragraf"), article_status(F.col("govde"))))
     out = out.withColumn("mulga", F.when(F.col("durum").isNotNull(), F.col("durum") == "geçersiz"))
-    out = out.withColumn("sira", F.row_number().over(Window.partitionBy("belge").orderBy("at", "govde")))
     return out.select(F.concat_ws("#", "belge", F.col("sira").cast("string")).alias("chunk_id"), "belge", "tur", "madde_id", "govde", "mulga", "durum", "sira")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, present
-from tessera.operators import citations, layout, notes, tree
+from tessera.operators import chunks, citations, layout, notes, tree
 
 #: Bodies with amendment marks: single, several, long and unclosed, by the court,
 #: not a mark, and repeated.
@@ -85,6 +85,12 @@ def text_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("no", "duz_metin", "madde_sayisi", F.size("kunye_satirlari").alias("kunye"), F.length("ad").alias("ad_n"))
 
 
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document's whole text, bodies by length and digest."""
+    rows = chunks.chunks(_documents(spark, sf_dir))
+    return rows.select("chunk_id", "belge", "tur", "madde_id", F.length("govde").alias("n"), F.md5("govde").alias("ozet"), "durum", "sira")
+
+
 def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document a summary and an excerpt about two words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -111,7 +117,7 @@ def text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"amendment_marks": mark_rows, "citation_edges": citation_edges, "heading_paths": heading_paths, "plain_names": plain_names, "part_slugs": part_slugs, "text_kinds": text_kinds, "text_trees": text_trees, "text_snippets": text_snippets}
+    return {"amendment_marks": mark_rows, "citation_edges": citation_edges, "heading_paths": heading_paths, "plain_names": plain_names, "part_slugs": part_slugs, "text_kinds": text_kinds, "text_trees": text_trees, "text_chunks": text_chunks, "text_snippets": text_snippets}
 
 
 def oracle_sql() -> dict[str, str]:
