@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys, present
 from tessera.operators import chunks, citations, layout, notes, tree
+from tessera.sources import readers
 
 #: Bodies with amendment marks: single, several, long and unclosed, by the court,
 #: not a mark, and repeated.
@@ -47,7 +48,7 @@ LINES = (
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("belge"), "text")
+    return readers.spread(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("belge"), "text")
 
 
 def mark_rows(spark: SparkSession, sf_dir: str = "") -> DataFrame:
@@ -93,14 +94,14 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document a summary and an excerpt about two words."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = readers.spread(spark, f"{sf_dir}/documents.parquet")
     asked = F.array(F.lit("ation"), F.lit("the"))
     return docs.select("doc_id", present.summary(present.without_heading(F.col("text"), F.lit(""))).alias("ozet"), present.snippet(F.col("text"), asked).alias("alinti"))
 
 
 def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as plain names: marks off, letters and digits in capitals."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = readers.spread(spark, f"{sf_dir}/documents.parquet")
     plain = keys.plain_name(F.col("text"))
     return docs.select("doc_id", F.length(plain).alias("n"), F.md5(plain).alias("ad"))
 
@@ -112,7 +113,7 @@ def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind and the tail's start of every document's whole text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = readers.spread(spark, f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", layout.text_kind("text").alias("kova"), layout.tail_start(F.col("text")).alias("kuyruk"))
 
 

@@ -9,19 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.operators import corpus, legal, records, retrieval
 from tessera.plans import index
 from tessera.plans.dialect import ORACLE, SPARK, tables
+from tessera.sources import readers
 from tessera.streaming import logs
 
 PLANS = {f.__name__: f for m in (retrieval, corpus, records) for f in m.PLANS}
 
+#: Tables of whole texts, over which expressions cost far more than an exchange.
+TEXTS = ("documents", "pages")
+
 
 def run(plan) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = plan(SPARK)
-        for name in tables(sql):
+        names = tables(sql)
+        # What reads the index does little to the texts themselves.
+        dear = () if any(name in index.PARTS for name in names) else TEXTS
+        for name in names:
             if name in index.PARTS:
                 spark.read.parquet(f"{index.build(spark, sf_dir)}/{name}").createOrReplaceTempView(f"tessera_{name}")
                 continue
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"tessera_{name}")
+            path = f"{sf_dir}/{name}.parquet"
+            rows = readers.spread(spark, path) if name in dear else spark.read.parquet(path)
+            rows.createOrReplaceTempView(f"tessera_{name}")
         return spark.sql(sql)
 
     query.__doc__ = plan.__doc__

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 from tessera.plans.dialect import SPARK
+from tessera.sources import readers
 
 #: Parts of the index, as tables of a plan (tessera_ix...).
 PARTS = ("ixpostings", "ixlengths", "ixtotals")
@@ -47,7 +48,7 @@ def build(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("tessera_documents")
+        readers.spread(spark, f"{sf_dir}/documents.parquet").createOrReplaceTempView("tessera_documents")
         fields, postings, lengths, totals = index_sql(SPARK)
         terms = spark.sql(f"WITH {fields} {postings}")
         # Laid out by term: the terms of a prefix lie in a few row groups.

@@ -79,3 +79,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines, or no rows of that schema where there is no file."""
     return json_lines(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def spread(spark: SparkSession, path: str, small: int = 64 << 20) -> DataFrame:
+    """A Parquet table of whole texts, dealt evenly over all cores where it is small.
+
+    A file is split by row groups, so that a small one is often one task, however
+    dear the expressions over its texts are. Of up to `small` bytes, rows are
+    dealt by one exchange of so many bytes at most, below which columns and
+    filters still reach the scan; larger tables are read as their files lie.
+    """
+    rows, place = spark.read.parquet(path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= small else rows

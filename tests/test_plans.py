@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.sources import readers
 from tessera.operators import records
 from tessera.plans import catalog
 
@@ -55,3 +56,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["item_id", "doc_id", "rrf", "rk"]
+
+
+def test_small_tables_are_dealt_over_all_cores_and_still_pruned(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = readers.spread(spark, path)
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = rows.where("doc_id > 5").select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan and "GreaterThan(doc_id,5)" in plan
+    assert "Exchange" not in readers.spread(spark, path, 0)._jdf.queryExecution().executedPlan().toString()
