@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, jaccard_join, language, mixing, packing
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, small_batches
 from tessera.llm.queries import vocabulary
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the random field knows; the others go."""
+    small_batches(spark)
     return language.keep_known(docs)
 
 
@@ -26,6 +27,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents, the one with the smallest doc_id."""
+    small_batches(spark)
     return jaccard_join.drop_near_copies(docs)
 
 
@@ -36,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary())
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +111,41 @@ def tidy() -> None:
         pass
 
 
+@functools.cache
+def lean() -> None:
+    """From now on large blocks that this worker frees go back to the system at
+    once: Arrow takes memory from the C library, as numpy does, and that maps each
+    block of 4 MB or more for itself."""
+    pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD; setting it ends its growth
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, whose memory goes back to the system when it ends, its last batch and
+    all it held included."""
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from run(batches)
+        tidy()
+
+    return held
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """From now on this session's rows go to Python in batches of about so many
+    bytes, not of 10,000 rows whatever their length: batches are held several
+    times over, by the worker and in buffers beside the executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.llm.common import Scratch, binary, components, mix, tidy, utf8
+from tessera.llm.common import Scratch, binary, components, lean, mix, tidied, tidy, utf8
 
 U = np.uint64
 #: Shingles per hash bucket, of which there are 32 at least.
@@ -61,6 +61,7 @@ def _survey(seed: int, sketch: bool):
     """Rows of documents as (doc_id, mark, digest, n) and, with null digest,
     counters of common shingles as (shingle, null, null, count)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, val, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), ["id", "mark", "digest", "n"]
         for batch in batches:
@@ -84,7 +85,6 @@ def _survey(seed: int, sketch: bool):
         key, val = _fold(key, val)
         if len(key):
             yield pa.record_batch([pa.array(key.astype(np.int64)), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.binary()), pa.array(val)], names)
-        tidy()
 
     return run
 
@@ -102,6 +102,7 @@ def _fold(key: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scatter(seed: int, buckets: int, common: np.ndarray):
     """Blocks of (class, shingle) by bucket; common shingles go to buckets below 0."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(0))
@@ -159,6 +160,13 @@ def frequency_byte(df: np.ndarray) -> np.ndarray:
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of a bucket, the shingles of two or more classes, as one row per class."""
+    lean()
+    out = _held_twice(table)
+    tidy()
+    return out
+
+
+def _held_twice(table: pa.Table) -> pa.Table:
     cls = np.repeat(_values(table["classes"], np.int64), _values(table["sizes"], np.uint32))
     raw = _values(table["tokens"], np.uint8).reshape(-1, 7)
     tokens = np.zeros((len(raw), 8), np.uint8)
@@ -168,11 +176,13 @@ def _shared(table: pa.Table) -> pa.Table:
     if table["bucket"][0].as_py() >= 0:
         order = np.argsort(tokens)
         t = tokens[order]
+        del tokens
         same = t[1:] == t[:-1]
         multi = np.zeros(len(t), bool)
         multi[1:] |= same
         multi[:-1] |= same
         t, c = t[multi], cls[order[multi]]
+        del cls, order, same, multi
         order = np.lexsort((c, t))
         t, c = t[order], c[order]
         one = np.ones(len(t), bool)  # a class counts once
@@ -180,23 +190,29 @@ def _shared(table: pa.Table) -> pa.Table:
         t, c = t[one], c[one]
         heads = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
         df = np.diff(np.append(heads, len(t)))
-        df = np.repeat(df, df)
-        t, c, byte = t[df > 1], c[df > 1], frequency_byte(df[df > 1])
+        some = np.repeat(df > 1, df)
+        t, c, df = t[some], c[some], df[df > 1]
+        byte = np.repeat(frequency_byte(df), df)
     else:
         order = np.lexsort((tokens, cls))
         t, c = tokens[order], cls[order]
+        del tokens, cls, order
         one = np.ones(len(t), bool)
         one[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
         t, c = t[one], c[one]
         byte = np.full(len(t), 255, np.uint64)
-    word = t | byte << U(56)
+    byte <<= U(56)
+    t |= byte
+    del byte, one
     order = np.argsort(c, kind="stable")
-    word, c = word[order], c[order]
+    word, c = t[order], c[order]
+    del t, order
     heads = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(c)) if len(c) else heads
     return pa.table({"class": pa.array(c[heads]), "m": pa.array((ends - heads).astype(np.int64)), "part": binary(word.view(np.uint8), ends * 8)})
 
 
+@tidied
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted shared shingles of each class from its parts, how many it has
     for itself, and the parity of its shared shingles per bit of a bitmap."""
@@ -254,6 +270,7 @@ def signatures(n: int, tokens: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _index(percent: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -267,6 +284,7 @@ def _index(percent: int):
 def _verify(percent: int):
     """(a, b, linked) of rows (a, b, n_a, n_b, tokens_a, tokens_b)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
